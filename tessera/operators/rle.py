@@ -114,21 +114,33 @@ class RLEFrame:
     def reconstruct(self, other: "RLEFrame") -> "RLEFrame":
         """Realigns columns of one table: the overlap of each pair of ranges, with both sides' values.
 
-        Ranges are dealt to bins of positions and joined on the bin, so the plan is an equi-join; a pair counts in the
-        bin where its overlap begins.
+        Ranges are dealt to blocks of positions. In a block, in the order of their starts, each range meets the last
+        one of the other side that began before it: a sort, and no join. An overlap counts in the block where it begins.
         """
         end = F.col("start_vid") + F.col("length")
-        spread = lambda r, s: r.select(
-            *[F.col(c).alias(f"{s}_{c}") for c in r.columns],
-            F.explode(F.sequence(F.floor(F.col("start_vid") / BLOCK), F.floor((end - 1) / BLOCK))).alias("__bin"),
+
+        def spread(r: DataFrame, left: bool, names: tuple[str, ...]) -> DataFrame:
+            own = F.struct(F.col("start_vid").alias("s"), end.alias("e"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(names)])
+            sides = [own.alias("l"), F.lit(None).alias("r")] if left else [F.lit(None).alias("l"), own.alias("r")]
+            blocks = F.explode(F.sequence(F.floor(F.col("start_vid") / BLOCK), F.floor((end - 1) / BLOCK)))
+            return r.select(blocks.alias("__b"), F.col("start_vid").alias("__s"), *sides)
+
+        extra = tuple(c for c in other.values if c not in self.values)
+        kind = lambda frame, names: spread(frame.runs, False, names).schema["r"].dataType
+        a = spread(self.runs, True, self.values).withColumn("r", F.col("r").cast(kind(other, extra)))
+        b = spread(other.runs, False, extra)
+        b = b.withColumn("l", F.col("l").cast(a.schema["l"].dataType))
+        inside = Window.partitionBy("__b").orderBy("__s")
+        upto = inside.rangeBetween(Window.unboundedPreceding, 0)
+        met = a.unionByName(b).select(
+            "__b", F.last("l", ignorenulls=True).over(upto).alias("l"), F.last("r", ignorenulls=True).over(upto).alias("r"), F.lag("__s").over(inside).eqNullSafe(F.col("__s")).alias("__again")
         )
-        a, b = spread(self.runs, "l"), spread(other.runs, "r")
-        start = F.greatest("l_start_vid", "r_start_vid")
-        stop = F.least(F.col("l_start_vid") + F.col("l_length"), F.col("r_start_vid") + F.col("r_length"))
-        met = a.join(b, "__bin").where((start < stop) & (F.floor(start / BLOCK) == F.col("__bin")))
-        columns = [F.col(f"l_{c}").alias(c) for c in self.values] + [F.col(f"r_{c}").alias(c) for c in other.values if c not in self.values]
+        start, stop = F.greatest("l.s", "r.s"), F.least("l.e", "r.e")
+        met = met.where(F.col("l").isNotNull() & F.col("r").isNotNull() & ~F.col("__again") & (start < stop) & (F.floor(start / BLOCK) == F.col("__b")))
+        columns = [F.col(f"{s}.v{i}").alias(c) for s, names in (("l", self.values), ("r", extra)) for i, c in enumerate(names)]
+        # ranges that began in an earlier block and meet in this one are seen at the later start, which is in this block
         out = met.select(start.alias("start_vid"), (stop - start).alias("length"), *columns)
-        return RLEFrame(out, tuple(dict.fromkeys([*self.values, *other.values])))
+        return RLEFrame(out, (*self.values, *extra))
 
     def decode(self, positions: bool = True) -> DataFrame:
         """One row per position; long runs go through chunks, so no generated array is long."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.metrics import mean_distance, quality
+from tessera.functions.minhash import hashed_signature, string_hashes
 from tessera.operators import neighbors as nn
 from tessera.operators import relational as rel
 from tessera.operators import rle
@@ -202,8 +203,8 @@ _EXACT = (
 
 @query(_with([42, 43]) + " SELECT id, s42.sig AS sig_42, s43.sig AS sig_43 FROM s42 JOIN s43 USING (id)")
 def minhash_signature(spark: SparkSession, root: str) -> DataFrame:
-    p = _sentences(spark, root).where(F.size("keywords") > 0)
-    return p.select("id", nn.signature(F.col("keywords"), 42).alias("sig_42"), nn.signature(F.col("keywords"), 43).alias("sig_43"))
+    p = _sentences(spark, root).where(F.size("keywords") > 0).select("id", string_hashes(F.col("keywords")).alias("h"))
+    return p.select("id", hashed_signature(F.col("h"), 42).alias("sig_42"), hashed_signature(F.col("h"), 43).alias("sig_43"))
 
 
 @query(_with([43]) + " SELECT sig, count(*) AS \"count\" FROM s43 GROUP BY sig")

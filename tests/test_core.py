@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import metrics
-from tessera.functions.minhash import LARGEST, jaccard, signature
+from tessera.functions.minhash import LARGEST, jaccard, keyword_hash, signature
 from tessera.operators import neighbors as nn
 from tessera.operators import relational as rel
 from tessera.operators import rle
@@ -50,6 +50,8 @@ def test_hash_over_supplementary_characters(spark):
     words = ["a", "né", "日本", "😀x", "x" * 300, ""]
     got = [r[0] for r in catalog.keyword_list(spark, [(str(i), [w]) for i, w in enumerate(words)]).orderBy("id").select(signature(F.col("keywords"), 7)).collect()]
     assert got == [want(w, 7) for w in words]
+    df = catalog.keyword_list(spark, [(str(i), [w]) for i, w in enumerate(words)]).orderBy("id")
+    assert [r[0] for r in df.select(keyword_hash(F.col("keywords")[0], 7)).collect()] == got
     assert max(got) <= LARGEST
 
 
