@@ -11,13 +11,13 @@ their band; each document gives its D + 1 first words in one global order, and e
 whose partner may be in the next lower band gives the words of that band too. Below 64 shingles each shingle is its own part.
 The order puts words that are common in a sample last, which only saves work: any order that is the same for all finds all.
 
-Steps. (1) Equal sets fall into classes, which their smallest doc_id stands for. (2) A first pass links each representative
-to the smallest of those that share one of its six least shingle hashes, which ties large groups of copies together.
+Steps. (1) Equal sets fall into classes, which their smallest doc_id stands for. (2) A first pass compares each representative
+with one that shares most of its six least shingle hashes, which ties large groups of copies together.
 (3) The pigeonhole join proper, over all representatives, leaves out pairs that are known to be in one component, as such
 links cannot change a component; all others are verified. (4) Components of all links.
 
 Pairs are verified twice: a parity sketch of 1,024 bits rejects those whose Hamming distance, which is at most the symmetric
-difference, is over (a + b) / 7; the rest by the exact intersection of shingle hashes (64 bits).
+difference, is over (a + b) / 7; the rest by the exact intersection of shingle hashes.
 
 Words travel in blocks: (32 bits of the word, doc_id), 12 bytes each, about 0.4 for each shingle, dealt to buckets of about
 a million; a bucket is sorted in one go. Nothing is collected but a bit table of fixed size; work tables are written to the
@@ -37,7 +37,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,18 +46,38 @@ from tessera.llm.components import components
 SHINGLE = 5
 LEAST = 6
 SMALL = 64
-HOT_BITS = 22
-HOT_SHARE = 1 / 64
+HOT_BITS = 24
+HOT_SHARE = 1 / 8
 ENTRIES = 1_000_000
 SKETCH_BITS = 1024
-_CACHE = 300_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
-class Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64) + np.uint64(1)
+_BASE = 0x9E6C63D0876A9A47
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, as far as the longest text so far."""
+    if len(_POWERS[0]) < n:
+        for k, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _POWERS[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 16), x, np.uint64)]), dtype=np.uint64)
+    return _POWERS
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit polynomial hash of each word, from differences of one running sum over the bytes."""
+    b = np.frombuffer(data, np.uint8)
+    inside = ~_SPACE[b]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    if not len(edges):
+        return np.empty(0, np.uint64)
+    start, end = edges[::2], edges[1::2]
+    up, down = _powers(len(b))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LOWER[b] * up[: len(b)], dtype=np.uint64)])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _FACTORS[4])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,12 +87,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, known: Words) -> np.ndarray:
+def shingles(text: pa.StringScalar) -> np.ndarray:
     """Distinct shingle hashes, ascending."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(text.as_buffer()) if text.is_valid and len(text.as_buffer()) else np.empty(0, np.uint64)
+    if not len(h):
+        return h
     n = min(len(h), SHINGLE)
     total = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
@@ -102,11 +120,13 @@ def sketch_words(h: np.ndarray, band: int) -> np.ndarray:
 
 def prefix(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """The words that a document gives to the join."""
-    out = []
-    for band, most in _bands(len(h)):
+    out = [np.empty(0, np.uint64)]
+    for band, most in _bands(len(h)) if len(h) else ():
         w = sketch_words(h, band)
         if len(w) > most + 1:
-            w = w[np.lexsort((w, hot[(w & np.uint64((1 << HOT_BITS) - 1)).astype(np.int64)]))[: most + 1]]
+            low = (w & np.uint64((1 << HOT_BITS) - 1)).astype(np.int64)
+            common = (hot[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & np.uint8(1)
+            w = w[np.lexsort((w, common))[: most + 1]]
         out.append(w)
     return np.concatenate(out)
 
@@ -117,16 +137,24 @@ def bit_sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
+def pack(h: np.ndarray) -> bytes:
+    """The low 40 bits of each hash: a chance agreement in a pair of sets of 600 has a probability of 3e-7."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _scalar(kind: str):
-    """Decorates a function of (text list, word cache) to an Arrow batch as a UDF of the text."""
+    """Decorates a function of a batch of shingle sets as a UDF of the text."""
 
     def make(f):
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            known = Words()
             for texts in batches:
-                if len(known) > _CACHE:
-                    known.clear()
-                yield f([shingles(t.as_py(), known) for t in texts])
+                yield f([shingles(t) for t in texts])
 
         run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
         return F.arrow_udf(run, kind).asNondeterministic()
@@ -144,7 +172,7 @@ def _describe(sets: list[np.ndarray]) -> pa.Array:
 
 def _full(sets: list[np.ndarray]) -> pa.Array:
     return pa.StructArray.from_arrays(
-        [pa.array([len(h) for h in sets], pa.int64()), pa.array([bit_sketch(h) for h in sets], pa.list_(pa.int64())), pa.array([h.tobytes() for h in sets], pa.binary())],
+        [pa.array([len(h) for h in sets], pa.int64()), pa.array([bit_sketch(h) for h in sets], pa.list_(pa.int64())), pa.array([pack(h) for h in sets], pa.binary())],
         ["n", "bits", "hashes"],
     )
 
@@ -172,7 +200,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     near = near.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75) & (distance * 7 <= F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
 
     def common(x: pa.Array, y: pa.Array) -> pa.Array:
-        get = lambda v: np.frombuffer(v.as_py(), np.uint64)
+        get = lambda v: unpack(v.as_py())
         return pa.array([len(np.intersect1d(get(p), get(q), assume_unique=True)) for p, q in zip(x, y, strict=True)], pa.int64())
 
     common.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
@@ -183,23 +211,72 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def _hot(docs: DataFrame, reps: DataFrame) -> np.ndarray:
-    """A bit for each value of the low bits of a sketch word: whether a word with it is common. It has a fixed size."""
+def _deal(words: list[np.ndarray], ids: np.ndarray, component: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A batch's words as one row a bucket: words, their documents, and the components of those not alone in theirs."""
+    row = np.repeat(np.arange(len(ids)), [len(p) for p in words])
+    words = np.concatenate(words) if words else np.empty(0, np.uint64)
+    to = ((words >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    edges = np.searchsorted(to[order], np.arange(buckets + 1))
+    made = []
+    for k in np.flatnonzero(np.diff(edges)):
+        at = order[edges[k] : edges[k + 1]]
+        own = np.unique(row[at])
+        own = own[component[own] != ids[own]]
+        made.append((int(k), words[at].astype(np.uint32).tobytes(), ids[row[at]].tobytes(), ids[own].tobytes(), component[own].tobytes()))
+    columns = list(zip(*made, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 4, strict=True)], names=["bucket", "w", "d", "o", "c"])
+
+
+_DEALT = "bucket int, w binary, d binary, o binary, c binary"
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bucket by bucket the words that several documents have, sorted, with their documents and components."""
+    held: dict[int, list[list[bytes]]] = {}
+    for b in batches:
+        for k, *blobs in zip(*[b.column(c).to_pylist() for c in ("bucket", "w", "d", "o", "c")], strict=True):
+            for have, new in zip(held.setdefault(k, [[], [], [], []]), blobs, strict=True):
+                have.append(new)
+    while held:
+        k, parts = held.popitem()
+        w, d, o, c = (np.frombuffer(b"".join(x), t) for x, t in zip(parts, (np.uint32, np.int64, np.int64, np.int64), strict=True))
+        order = np.argsort(w, kind="stable")
+        w, d = w[order], d[order]
+        same = w[1:] == w[:-1]
+        twin = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+        w, d = w[twin], d[twin]
+        o, first = np.unique(o, return_index=True)
+        comp = d
+        if len(o) and len(d):
+            at = np.minimum(np.searchsorted(o, d), len(o) - 1)
+            comp = np.where(o[at] == d, c[first][at], d)
+        yield k, w, d, comp
+
+
+def _hot(docs: DataFrame, reps: DataFrame, buckets: int) -> np.ndarray:
+    """A bit for each value of the low bits of a sketch word: whether, among the sampled documents, words with it are in
+    several components. The table has a fixed size, whatever the input's."""
+    buckets = max(1, int(buckets * HOT_SHARE * 2))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for b in batches:
-            sets = [shingles(t, known) for t in b.column("text").to_pylist()]
-            w = [sketch_words(h, band) for h in sets if len(h) for band, _ in _bands(len(h))]
-            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(w) if w else np.empty(0, np.uint64)).view(np.int64))], names=["w"])
-            if len(known) > _CACHE:
-                known.clear()
-
-    sample = hash_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", HOT_SHARE, 5).join(reps, "doc_id", "left_semi")
-    common = sample.mapInArrow(words, "w long").groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
+            sets = [shingles(t) for t in b.column("text")]
+            own = [np.concatenate([sketch_words(h, band) for band, _ in _bands(len(h))]) if len(h) else h for h in sets]
+            yield _deal(own, b.column("doc_id").to_numpy(), b.column("component").to_numpy(), buckets)
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, w, _, comp in _buckets(batches):
+            if len(w):
+                at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                mixed = np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(w[at][mixed] & np.uint32((1 << HOT_BITS) - 1)).astype(np.int32))], names=["w"])
+
+    sample = hash_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", HOT_SHARE, 5).join(reps, "doc_id")
+    found = sample.select("doc_id", "component", "text").mapInArrow(words, _DEALT).repartition(buckets, "bucket").mapInArrow(common, "w int").distinct()
     hot = np.zeros(1 << HOT_BITS, np.bool_)
-    hot[[r[0] for r in common.select(F.col("w").bitwiseAND(F.lit((1 << HOT_BITS) - 1)).alias("w")).distinct().collect()]] = True
-    return hot
+    hot[found.toArrow().column("w").to_numpy()] = True
+    return np.packbits(hot)
 
 
 def candidates(docs: DataFrame, reps: DataFrame, total: int) -> DataFrame:
@@ -209,55 +286,21 @@ def candidates(docs: DataFrame, reps: DataFrame, total: int) -> DataFrame:
     """
     spark = docs.sparkSession
     reps = small(reps)
-    shared = spark.sparkContext.broadcast(np.packbits(_hot(docs, reps)))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.45 * total / ENTRIES))
+    shared = spark.sparkContext.broadcast(_hot(docs, reps, buckets))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hot = Words(), np.unpackbits(shared.value)
         for b in batches:
-            ids, parts = b.column("doc_id").to_numpy(), [prefix(shingles(t, known), hot) for t in b.column("text").to_pylist()]
-            if len(known) > _CACHE:
-                known.clear()
-            words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-            row = np.repeat(np.arange(len(ids)), [len(p) for p in parts])
-            component = b.column("component").to_numpy()
-            to = ((words >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[order], np.arange(buckets + 1))
-            made = []
-            for k in np.flatnonzero(np.diff(edges)):
-                at = order[edges[k] : edges[k + 1]]
-                own = np.unique(row[at])
-                own = own[component[own] != ids[own]]
-                made.append((int(k), words[at].astype(np.uint32).tobytes(), ids[row[at]].tobytes(), ids[own].tobytes(), component[own].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=False)] or [pa.array([], t) for t in [pa.int32()] + [pa.binary()] * 4], names=["bucket", "w", "d", "o", "c"])
+            words = [prefix(shingles(t), shared.value) for t in b.column("text")]
+            yield _deal(words, b.column("doc_id").to_numpy(), b.column("component").to_numpy(), buckets)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[list[bytes]]] = {}
-        for b in batches:
-            for k, *blobs in zip(*[b.column(c).to_pylist() for c in ("bucket", "w", "d", "o", "c")], strict=True):
-                parts = held.setdefault(k, [[], [], [], []])
-                for have, new in zip(parts, blobs, strict=True):
-                    have.append(new)
-        while held:
-            w, d, o, c = (np.frombuffer(b"".join(x), t) for x, t in zip(held.popitem()[1], (np.uint32, np.int64, np.int64, np.int64), strict=True))
-            order = np.argsort(w, kind="stable")
-            w, d = w[order], d[order]
-            twin = np.flatnonzero(np.concatenate([[False], w[1:] == w[:-1]]) | np.concatenate([w[1:] == w[:-1], [False]]))
-            w, d = w[twin], d[twin]
-            if not len(w):
-                continue
-            o, first = np.unique(o, return_index=True)
-            c = c[first]
-            comp = d.copy()
-            if len(o):
-                at = np.minimum(np.searchsorted(o, d), len(o) - 1)
-                comp = np.where(o[at] == d, c[at], d)
-            yield from _cross(w, d, comp)
-
-    schema = "bucket int, w binary, d binary, o binary, c binary"
+        for _, w, d, comp in _buckets(batches):
+            if len(w):
+                yield from _cross(w, d, comp)
+
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps, "doc_id")
-    met = mine.select("doc_id", "component", "text").mapInArrow(deal, schema).repartition(buckets, "bucket").mapInArrow(meet, "a long, b long")
+    met = mine.select("doc_id", "component", "text").mapInArrow(deal, _DEALT).repartition(buckets, "bucket").mapInArrow(meet, "a long, b long")
     return cut(met.distinct(), "pairs")
 
 
@@ -290,7 +333,8 @@ def link(docs: DataFrame) -> DataFrame:
     reps = rows.where("doc_id = rep")
     low = reps.select("doc_id", "n", F.explode("low").alias("h"))
     leads = low.groupBy("h").agg(F.min("doc_id").alias("a"), F.count("*").alias("k")).where("k > 1").select("h", "a")
-    first = cut(low.join(leads, "h").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
+    met = low.join(leads, "h").where("a <> doc_id").groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("k"))
+    first = cut(met.groupBy("b").agg(F.min(F.struct(-F.col("k"), "a")).alias("x")).select("x.a", "b"), "pairs")  # one lead a document: the rest is left to step 3
     links = verify(first, docs)
     tied = components(links)
     one = reps.groupBy("doc_id").agg(F.max("n").alias("n"))

@@ -80,7 +80,7 @@ def test_prefixes_of_linked_sets_meet():
     import numpy as np
 
     g = np.random.default_rng(3)
-    hot = g.random(1 << jaccard.HOT_BITS) < 0.3
+    hot = np.packbits(g.random(1 << jaccard.HOT_BITS) < 0.3)
     for _ in range(3000):
         n = int(g.choice([1, 2, 3, 4, 7, 20, 50, 62, 64, 66, 80, 120, 127, 129, 200, 260, 600, 1100]))
         a = g.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + g.integers(0, 2, n).astype(np.uint64)
