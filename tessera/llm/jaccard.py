@@ -8,7 +8,8 @@ shingle XORs its 64-bit hash into the word of its part. A shingle of the symmetr
 number of differing words (the Hamming distance of the sketches, by words) is at most the symmetric difference. By the
 pigeonhole principle, two linked sets agree in one of any D + 1 non-empty words, D being the largest (a + b) // 7 for
 their band; each document gives its D + 1 first words in one global order, and equal words make candidate pairs. A document
-whose partner may be in the next lower band gives the words of that band too. Below 64 shingles each shingle is its own part.
+whose partner may be in the next lower band gives the words of that band too. Below 256 shingles each shingle is its own part, so a
+set's words change by its own missing shingles alone, of which a linked set has at most a quarter.
 The order puts words that are common in a sample last, which only saves work: any order that is the same for all finds all.
 
 Steps. (1) Equal sets fall into classes, which their smallest doc_id stands for. (2) A first pass compares each representative
@@ -45,7 +46,7 @@ from tessera.llm.components import components
 
 SHINGLE = 5
 LEAST = 6
-SMALL = 64
+SMALL = 256
 HOT_BITS = 24
 HOT_SHARE = 1 / 8
 ENTRIES = 1_000_000
@@ -100,13 +101,21 @@ def shingles(text: pa.StringScalar) -> np.ndarray:
 
 
 def _bands(n: int) -> Iterator[tuple[int, int]]:
-    """(band, most differing shingles) under which a set of n shingles is looked for; band 0 is of sets under 64."""
+    """(band, most of the set's own words that differ from a linked set's) under which a set of n shingles is looked for.
+
+    Band 0 is of sets under SMALL, where a word is one shingle and only the set's own missing shingles change its words: n less
+    the least overlap, at most. In other bands a shingle of either set may, so it is the symmetric difference.
+    """
     k = 0 if n < SMALL else n.bit_length() - 1
-    top = SMALL - 1 if k == 0 else (2 << k) - 1
-    yield k, (n + min(4 * n // 3, top)) // 7
+    if k == 0:
+        yield 0, n - max(-(-3 * n // 4), -(-3 * (n + -(-3 * n // 4)) // 7))
+    else:
+        yield k, (n + min(4 * n // 3, (2 << k) - 1)) // 7
     if k and 3 * n < 4 << k:  # a partner of 3/4 of the size is in the band below
-        below = (1 << k) - 1
-        yield (k - 1 if (1 << k) > SMALL else 0), (n + below) // 7
+        if 1 << k > SMALL:
+            yield k - 1, (n + (1 << k) - 1) // 7
+        else:
+            yield 0, n - -(-3 * n // 4)
 
 
 def sketch_words(h: np.ndarray, band: int) -> np.ndarray:
@@ -304,27 +313,29 @@ def candidates(docs: DataFrame, reps: DataFrame, total: int) -> DataFrame:
     return cut(met.distinct(), "pairs")
 
 
-def _cross(w: np.ndarray, d: np.ndarray, comp: np.ndarray, block: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each run of equal words: each document with those after it, one distance at a time."""
+def _cross(w: np.ndarray, d: np.ndarray, comp: np.ndarray, block: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs of different components in each run of equal words: each document with those after it, one distance at a time."""
     n, gap = len(w), 1
-    left = np.arange(n)
-    pairs = np.empty((0, 2), np.int64)
-    # runs of one component have no pairs; they are left out as a whole
     start = np.concatenate([[True], w[1:] != w[:-1]])
-    run = np.cumsum(start) - 1
-    low, high = np.minimum.reduceat(comp, np.flatnonzero(start)), np.maximum.reduceat(comp, np.flatnonzero(start))
-    left = left[(low != high)[run]]
-    while len(left):
+    at, run = np.flatnonzero(start), np.cumsum(start) - 1
+    mixed = np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at)
+    left = np.flatnonzero(mixed[run])  # runs of one component have no pairs
+    held, size = [], 0
+    while len(left) or held:
         left = left[left + gap < n]
         left = left[w[left + gap] == w[left]]
         hit = left[comp[left] != comp[left + gap]]
         a, b = d[hit], d[hit + gap]
-        pairs = np.unique(np.concatenate([pairs, np.stack([np.minimum(a, b), np.maximum(a, b)], 1)]), axis=0)
-        if len(pairs) > block:
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-            pairs = pairs[:0]
+        held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        size += len(hit)
         gap += 1
-    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+        if size > block or not len(left):
+            pairs = np.concatenate(held)
+            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+            pairs = pairs[order]
+            pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])] if len(pairs) else pairs
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+            held, size = [], 0
 
 
 def link(docs: DataFrame) -> DataFrame:
