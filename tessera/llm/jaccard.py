@@ -17,7 +17,7 @@ with one that shares most of its six least shingle hashes, which ties large grou
 (3) The pigeonhole join proper, over all representatives, leaves out pairs that are known to be in one component, as such
 links cannot change a component; all others are verified. (4) Components of all links.
 
-Pairs are verified twice: a parity sketch of 1,024 bits rejects those whose Hamming distance, which is at most the symmetric
+Pairs are verified twice: a parity sketch of at least 1,024 bits, and twice as many as shingles, rejects those whose Hamming distance, which is at most the symmetric
 difference, is over (a + b) / 7; the rest by the exact intersection of shingle hashes.
 
 Words travel in blocks: (32 bits of the word, doc_id), 12 bytes each, about 0.4 for each shingle, dealt to buckets of about
@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, drop_cut, hash_sample, small
@@ -141,11 +141,20 @@ def prefix(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def bit_sketch(h: np.ndarray) -> np.ndarray:
-    """1,024 parities, as 16 words."""
-    counts = np.bincount((h >> np.uint64(24)).astype(np.int64) & (SKETCH_BITS - 1), minlength=SKETCH_BITS)
+    """Parities of the shingles by the low bits of a part of their hash, at least twice as many bits as shingles, as 64-bit words."""
+    bits = max(SKETCH_BITS, 1 << (2 * len(h) - 1).bit_length())
+    counts = np.bincount((h >> np.uint64(24)).astype(np.int64) & (bits - 1), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
+def distance(a: Column, b: Column) -> Column:
+    """Hamming distance of two bit sketches; one that is twice as long is folded, which keeps parities parities."""
+    k = F.least(F.size(a), F.size(b))
+    xor = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+    fold = lambda x: F.when(F.size(x) > k, xor(F.slice(x, F.lit(1), k), F.slice(x, k + 1, k))).otherwise(x)
+    return F.aggregate(xor(fold(a), fold(b)), F.lit(0), lambda s, x: s + F.bit_count(x))
+
+
 def pack(h: np.ndarray) -> bytes:
     """The low 40 bits of each hash: a chance agreement in a pair of sets of 600 has a probability of 3e-7."""
     return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
@@ -202,11 +211,11 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     full = _scalar("struct<n:long,bits:array<long>,hashes:binary>")(_full)
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(ids), "doc_id", "left_semi")
-    sets = cut(mine.select("doc_id", full(F.col("text")).alias("s")).select("doc_id", "s.*"), "shingles")
+    written = sets = cut(mine.select("doc_id", full(F.col("text")).alias("s")).select("doc_id", "s.*"), "shingles")
     side = lambda x, *c: sets.select(F.col("doc_id").alias(x), *[F.col(i).alias(f"{i}_{x}") for i in c])
-    distance = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
-    near = near.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75) & (distance * 7 <= F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+    near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75)
+    near = cut(near.where(distance(F.col("bits_a"), F.col("bits_b")) * 7 <= F.col("n_a") + F.col("n_b")).select("a", "b").distinct(), "near")
+    sets = sets.join(small(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()), "doc_id", "left_semi")
 
     def common(x: pa.Array, y: pa.Array) -> pa.Array:
         get = lambda v: unpack(v.as_py())
@@ -216,7 +225,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = near.join(side("b", "n", "hashes"), "b").join(side("a", "n", "hashes"), "a")
     both = both.withColumn("i", F.arrow_udf(common, "long").asNondeterministic()(F.col("hashes_a"), F.col("hashes_b")))
     out = cut(both.where(F.col("i") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("i")) * 75).select("a", "b").distinct(), "links")
-    drop_cut(sets)
+    drop_cut(written)
     return out
 
 

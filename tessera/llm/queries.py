@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, html, jaccard, language, pieces, quality, urls, warc
+from tessera.llm import decontaminate, html, jaccard, language, licenses, neighbours, pieces, quality, urls, warc
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,24 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 )
 def op10_jaccard(spark: SparkSession, root: str) -> DataFrame:
     return jaccard.link(table(spark, root, "documents"))
+
+
+@query()
+def op4_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    return neighbours.search_own(table(spark, root, "embeddings"))
+
+
+_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
+_SHINGLED = f"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+')"
+
+
+@query(
+    f"""WITH t AS (SELECT template, license, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s
+        FROM (SELECT template, license, {_SHINGLED} AS w FROM (VALUES {_TEMPLATE_ROWS}) v(template, license, text))),
+    n AS (SELECT template, count(*) AS n FROM t GROUP BY 1),
+    d AS (SELECT DISTINCT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM (SELECT doc_id, {_SHINGLED} AS w FROM documents WHERE text IS NOT NULL)),
+    f AS (SELECT doc_id, template, license, count(*) AS n_found FROM d JOIN t USING (s) GROUP BY ALL)
+    SELECT doc_id, template, license, n_found::INT AS n_found, n_found * 1.0::DOUBLE / n AS containment FROM f JOIN n USING (template) WHERE n_found >= n * 0.75"""
+)
+def op3_licenses(spark: SparkSession, root: str) -> DataFrame:
+    return licenses.scan(table(spark, root, "documents"))
