@@ -8,7 +8,7 @@ shingle XORs its 64-bit hash into the word of its part. A shingle of the symmetr
 number of differing words (the Hamming distance of the sketches, by words) is at most the symmetric difference. By the
 pigeonhole principle, two linked sets agree in one of any D + 1 non-empty words, D being the largest (a + b) // 7 for
 their band; each document gives its D + 1 first words in one global order, and equal words make candidate pairs. A document
-whose partner may be in the next lower band gives the words of that band too. Below 256 shingles each shingle is its own part, so a
+whose partner may be in the next lower band gives the words of that band too. Below 4,096 shingles each shingle is its own part, so a
 set's words change by its own missing shingles alone, of which a linked set has at most a quarter.
 The order puts words that are common in a sample last, which only saves work: any order that is the same for all finds all.
 
@@ -20,8 +20,9 @@ links cannot change a component; all others are verified. (4) Components of all
 Pairs are verified twice: a parity sketch of at least 1,024 bits, and twice as many as shingles, rejects those whose Hamming distance, which is at most the symmetric
 difference, is over (a + b) / 7; the rest by the exact intersection of shingle hashes.
 
-Words travel in blocks: (32 bits of the word, doc_id), 12 bytes each, about 0.4 for each shingle, dealt to buckets of about
-a million; a bucket is sorted in one go. Nothing is collected but a bit table of fixed size; work tables are written to the
+A pair is made only at a word that may be its first common one: the words before it all differ, which bounds the sizes that the
+other set can have. Words travel in blocks: (32 bits of the word, doc_id, size, place), 20 bytes each, about 0.3 for each shingle, dealt
+to buckets of about a million; a bucket is sorted in one go. Nothing is collected but a bit table of fixed size; work tables are written to the
 shared folder, so lost executors cost no rework beyond a stage. What remains quadratic: documents of different
 components that share a word of a sketch and do not link are all compared with one another.
 
@@ -46,11 +47,12 @@ from tessera.llm.components import components
 
 SHINGLE = 5
 LEAST = 6
-SMALL = 256
+SMALL = 4_096
 HOT_BITS = 24
 HOT_SHARE = 1 / 8
 ENTRIES = 1_000_000
 SKETCH_BITS = 1024
+PARITY = 1 << 31
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -127,17 +129,28 @@ def sketch_words(h: np.ndarray, band: int) -> np.ndarray:
     return mix(np.bitwise_xor.reduceat(mix(h), starts) + part[starts] * _FACTORS[0] + np.uint64(band))
 
 
-def prefix(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The words that a document gives to the join."""
-    out = [np.empty(0, np.uint64)]
+def prefix(h: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that a document gives to the join, and the place of each in the order, with PARITY added where it is of a band over 0."""
+    words, places = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
     for band, most in _bands(len(h)) if len(h) else ():
         w = sketch_words(h, band)
-        if len(w) > most + 1:
-            low = (w & np.uint64((1 << HOT_BITS) - 1)).astype(np.int64)
-            common = (hot[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & np.uint8(1)
-            w = w[np.lexsort((w, common))[: most + 1]]
-        out.append(w)
-    return np.concatenate(out)
+        low = (w & np.uint64((1 << HOT_BITS) - 1)).astype(np.int64)
+        common = (hot[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & np.uint8(1)
+        words.append(w[np.lexsort((w, common))[: most + 1]])
+        places.append(np.arange(len(words[-1]), dtype=np.uint32) + np.uint32(PARITY if band else 0))
+    return np.concatenate(words), np.concatenate(places)
+
+
+def partners(n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest size of a linked set whose first common word with a set of n is at this place of its order.
+
+    All words before the first common one differ. In band 0 they are shingles of the set that the other lacks, at most
+    n - 3 (n + m) / 7; in other bands each takes a shingle of the symmetric difference, at most (n + m) / 7.
+    """
+    n, parity = n.astype(np.int64), place >= PARITY
+    place = np.where(parity, place - np.uint32(PARITY), place).astype(np.int64)
+    low, high = -(-3 * n // 4), 4 * n // 3
+    return np.where(parity, np.maximum(low, 7 * place - n), low), np.where(parity, high, np.minimum(high, (4 * n - 7 * place) // 3))
 
 
 def bit_sketch(h: np.ndarray) -> np.ndarray:
@@ -229,10 +242,15 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def _deal(words: list[np.ndarray], ids: np.ndarray, component: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A batch's words as one row a bucket: words, their documents, and the components of those not alone in theirs."""
+_COLUMNS = ("w", "d", "n", "p", "o", "c")
+_KINDS = (np.uint32, np.int64, np.uint32, np.uint32, np.int64, np.int64)
+
+
+def _deal(words: list[np.ndarray], places: list[np.ndarray], sizes: list[int], ids: np.ndarray, component: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A batch's words as one row a bucket: words, documents, sizes, places, and the components of documents not alone in theirs."""
     row = np.repeat(np.arange(len(ids)), [len(p) for p in words])
-    words = np.concatenate(words) if words else np.empty(0, np.uint64)
+    words, place = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((words, np.uint64), (places, np.uint32)))
+    size = np.array(sizes, np.uint32)
     to = ((words >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     edges = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -241,35 +259,35 @@ def _deal(words: list[np.ndarray], ids: np.ndarray, component: np.ndarray, bucke
         at = order[edges[k] : edges[k + 1]]
         own = np.unique(row[at])
         own = own[component[own] != ids[own]]
-        made.append((int(k), words[at].astype(np.uint32).tobytes(), ids[row[at]].tobytes(), ids[own].tobytes(), component[own].tobytes()))
-    columns = list(zip(*made, strict=True)) or [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 4, strict=True)], names=["bucket", "w", "d", "o", "c"])
+        made.append((int(k), *[x.tobytes() for x in (words[at].astype(np.uint32), ids[row[at]], size[row[at]], place[at], ids[own], component[own])]))
+    columns = list(zip(*made, strict=True)) or [[]] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 6, strict=True)], names=["bucket", *_COLUMNS])
 
 
-_DEALT = "bucket int, w binary, d binary, o binary, c binary"
+_DEALT = "bucket int, " + ", ".join(f"{c} binary" for c in _COLUMNS)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Bucket by bucket the words that several documents have, sorted, with their documents and components."""
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Bucket by bucket the words that several documents have, sorted, with documents, sizes, places and components."""
     held: dict[int, list[list[bytes]]] = {}
     for b in batches:
-        for k, *blobs in zip(*[b.column(c).to_pylist() for c in ("bucket", "w", "d", "o", "c")], strict=True):
-            for have, new in zip(held.setdefault(k, [[], [], [], []]), blobs, strict=True):
+        for k, *blobs in zip(*[b.column(c).to_pylist() for c in ("bucket", *_COLUMNS)], strict=True):
+            for have, new in zip(held.setdefault(k, [[] for _ in _COLUMNS]), blobs, strict=True):
                 have.append(new)
     while held:
-        k, parts = held.popitem()
-        w, d, o, c = (np.frombuffer(b"".join(x), t) for x, t in zip(parts, (np.uint32, np.int64, np.int64, np.int64), strict=True))
+        _, parts = held.popitem()
+        w, d, n, p, o, c = (np.frombuffer(b"".join(x), t) for x, t in zip(parts, _KINDS, strict=True))
         order = np.argsort(w, kind="stable")
-        w, d = w[order], d[order]
-        same = w[1:] == w[:-1]
-        twin = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
-        w, d = w[twin], d[twin]
+        same = w[order][1:] == w[order][:-1]
+        twin = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(w) else order
+        w, d, n, p = w[twin], d[twin], n[twin], p[twin]
         o, first = np.unique(o, return_index=True)
         comp = d
         if len(o) and len(d):
             at = np.minimum(np.searchsorted(o, d), len(o) - 1)
             comp = np.where(o[at] == d, c[first][at], d)
-        yield k, w, d, comp
+        if len(w):
+            yield w, d, n, p, comp
 
 
 def _hot(docs: DataFrame, reps: DataFrame, buckets: int) -> np.ndarray:
@@ -281,14 +299,13 @@ def _hot(docs: DataFrame, reps: DataFrame, buckets: int) -> np.ndarray:
         for b in batches:
             sets = [shingles(t) for t in b.column("text")]
             own = [np.concatenate([sketch_words(h, band) for band, _ in _bands(len(h))]) if len(h) else h for h in sets]
-            yield _deal(own, b.column("doc_id").to_numpy(), b.column("component").to_numpy(), buckets)
+            yield _deal(own, [np.zeros(len(w), np.uint32) for w in own], [len(h) for h in sets], b.column("doc_id").to_numpy(), b.column("component").to_numpy(), buckets)
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, w, _, comp in _buckets(batches):
-            if len(w):
-                at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-                mixed = np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(w[at][mixed] & np.uint32((1 << HOT_BITS) - 1)).astype(np.int32))], names=["w"])
+        for w, *_, comp in _buckets(batches):
+            at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            mixed = np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(w[at][mixed] & np.uint32((1 << HOT_BITS) - 1)).astype(np.int32))], names=["w"])
 
     sample = hash_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", HOT_SHARE, 5).join(reps, "doc_id")
     found = sample.select("doc_id", "component", "text").mapInArrow(words, _DEALT).repartition(buckets, "bucket").mapInArrow(common, "w int").distinct()
@@ -309,31 +326,38 @@ def candidates(docs: DataFrame, reps: DataFrame, total: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [prefix(shingles(t), shared.value) for t in b.column("text")]
-            yield _deal(words, b.column("doc_id").to_numpy(), b.column("component").to_numpy(), buckets)
+            sets = [shingles(t) for t in b.column("text")]
+            words, places = zip(*[prefix(h, shared.value) for h in sets], strict=True) if sets else ((), ())
+            yield _deal(list(words), list(places), [len(h) for h in sets], b.column("doc_id").to_numpy(), b.column("component").to_numpy(), buckets)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, w, d, comp in _buckets(batches):
-            if len(w):
-                yield from _cross(w, d, comp)
+        for met in _buckets(batches):
+            yield from _cross(*met)
 
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps, "doc_id")
     met = mine.select("doc_id", "component", "text").mapInArrow(deal, _DEALT).repartition(buckets, "bucket").mapInArrow(meet, "a long, b long")
     return cut(met.distinct(), "pairs")
 
 
-def _cross(w: np.ndarray, d: np.ndarray, comp: np.ndarray, block: int = 400_000) -> Iterator[pa.RecordBatch]:
-    """Distinct pairs of different components in each run of equal words: each document with those after it, one distance at a time."""
-    n, gap = len(w), 1
+def _cross(w: np.ndarray, d: np.ndarray, n: np.ndarray, place: np.ndarray, comp: np.ndarray, block: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs of different components in each run of equal words, if this may be their first common word."""
     start = np.concatenate([[True], w[1:] != w[:-1]])
     at, run = np.flatnonzero(start), np.cumsum(start) - 1
-    mixed = np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at)
-    left = np.flatnonzero(mixed[run])  # runs of one component have no pairs
+    mixed = (np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at))[run]  # runs of one component have no pairs
+    low, high = partners(n, place)
+    # of the rest, those whose run has a partner of a fitting size
+    key = run.astype(np.int64) << 32
+    sizes = np.sort(key + n)
+    fitting = np.searchsorted(sizes, key + high, "right") - np.searchsorted(sizes, key + low) - ((low <= n) & (n <= high))
+    kept = np.flatnonzero(mixed & (fitting > 0))
+    w, d, n, comp, low, high = w[kept], d[kept], n[kept].astype(np.int64), comp[kept], low[kept], high[kept]
+    total, gap, left = len(w), 1, np.arange(len(w))
     held, size = [], 0
     while len(left) or held:
-        left = left[left + gap < n]
+        left = left[left + gap < total]
         left = left[w[left + gap] == w[left]]
-        hit = left[comp[left] != comp[left + gap]]
+        right = left + gap
+        hit = left[(comp[left] != comp[right]) & (low[left] <= n[right]) & (n[right] <= high[left]) & (low[right] <= n[left]) & (n[left] <= high[right])]
         a, b = d[hit], d[hit + gap]
         held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
         size += len(hit)

@@ -81,15 +81,19 @@ def test_prefixes_of_linked_sets_meet():
 
     g = np.random.default_rng(3)
     hot = np.packbits(g.random(1 << jaccard.HOT_BITS) < 0.3)
-    for _ in range(3000):
-        n = int(g.choice([1, 2, 3, 4, 7, 20, 50, 62, 64, 66, 80, 120, 127, 129, 200, 260, 600, 1100]))
+    for _ in range(2500):
+        n = int(g.choice([1, 2, 3, 4, 7, 20, 50, 62, 64, 66, 80, 120, 127, 129, 200, 260, 600, 1100, 3900, 4090, 4100, 4300, 5200, 8000, 8300]))
         a = g.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + g.integers(0, 2, n).astype(np.uint64)
         drop = int(g.integers(0, n // 4 + 1))
         b = np.concatenate([a[drop:], g.integers(0, 1 << 63, int(g.integers(0, n // 3 + 1))).astype(np.uint64)])
         a, b = np.unique(a), np.unique(b)
         i = len(np.intersect1d(a, b))
         if 100 * i >= 75 * (len(a) + len(b) - i):
-            assert np.intersect1d(jaccard.prefix(a, hot), jaccard.prefix(b, hot)).size
+            (v, p), (w, q) = jaccard.prefix(a, hot), jaccard.prefix(b, hot)
+            common, x, y = np.intersect1d(v, w, return_indices=True)
+            assert common.size
+            (la, ha), (lb, hb) = jaccard.partners(np.full(len(x), len(a)), p[x]), jaccard.partners(np.full(len(y), len(b)), q[y])
+            assert ((la <= len(b)) & (len(b) <= ha) & (lb <= len(a)) & (len(a) <= hb)).any()
             x, y = sorted((jaccard.bit_sketch(a), jaccard.bit_sketch(b)), key=len)
             y = y if len(y) == len(x) else y[: len(x)] ^ y[len(x) :]
             parity = np.unpackbits((x ^ y).view(np.uint8)).sum()
