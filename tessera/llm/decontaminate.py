@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of word characters in lower case. Every 3-word sequence of a benchmark item is counted over all documents;
-an item's seeds are those of its sequences that are no more frequent than its median one, so every item has seeds,
-however often it was copied. A seed found in a document opens a window as long as the item and half of it again on
+an item's seeds are those of its sequences that occur at most ``RARE`` times or are no more frequent than its median one,
+so every item has seeds, however often it was copied. A seed found in a document opens a window as long as the item and half of it again on
 either side; windows of an item that overlap become one. Item and window are aligned word by word (match 2, mismatch and
 gap -1); the score is the alignment's divided by that of the item with itself, and 0.4 or more is a leak (unrelated text stays under 0.2). Copies
 with about a third of their words replaced, dropped or added are found.
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED = 3
+RARE = 32
 MATCH, OTHER = 2, -1
 THRESHOLD = 0.4
 SLICE_WORDS = 2_000_000
@@ -83,13 +84,13 @@ class Items:
         return at[ok], k[ok]
 
     def seeds(self, counts: np.ndarray | None = None) -> None:
-        """Keeps as seeds what is no more frequent than its item's median."""
+        """Keeps as seeds what is rare, or no more frequent than its item's median."""
         use = np.ones(len(self.number), bool)
         if counts is not None and len(use):
             own = counts[self.number]
             for k in range(len(self.words)):
                 at = self.owner == k if len(self.words) < 50 else slice(*np.searchsorted(self.owner, [k, k + 1]))
-                use[at] = own[at] <= np.median(own[at])
+                use[at] = own[at] <= max(RARE, np.median(own[at]))
         order = np.flatnonzero(use)[np.argsort(self.number[use], kind="stable")]
         self.places, self.first = order, np.searchsorted(self.number[order], np.arange(len(self.known) + 1))
 

@@ -128,6 +128,11 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which changes no cosine and no rounding, so that squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def _units(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -183,7 +188,7 @@ def _search_length(base: DataFrame, queries: DataFrame, d: int, n: int, k: int,
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qid, q = shared.value
-            unit = _units(q)
+            unit, q = _units(q), _scaled(q)
             tables, norm = model.value.tables(unit), np.sqrt((q * q).sum(1))
             best_id = np.full((len(qid), 0), -1, np.int64)
             best = np.full((len(qid), 0), -np.inf)
@@ -193,7 +198,7 @@ def _search_length(base: DataFrame, queries: DataFrame, d: int, n: int, k: int,
                 order = np.argsort(own, kind="stable")
                 for t in range(0, len(own), TILE):
                     at = order[t : t + TILE]
-                    ids_t, x_t, code_t = own[at], x[at], code[at]
+                    ids_t, x_t, code_t = own[at], _scaled(x[at]), code[at]
                     length = np.sqrt((x_t * x_t).sum(1))
                     new_id, new = [], []
                     for s in range(0, len(qid), 256):
