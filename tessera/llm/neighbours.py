@@ -10,7 +10,7 @@ entries; its ``KEEP`` best rows are scored exactly, in double precision, from th
 Queries go to the scan in blocks of ``BLOCK``, broadcast one after another, whatever their number; rows are
 never moved, and what is shuffled are k rows for each query and task. Equal scores go to the smaller vec_id at every step.
 
-Recall is measured against brute force in the tests (over 0.99 at 5 of 2,000 and of 10,000).
+Recall against brute force was 1.0 on 10,256 vectors; the tests hold it over 0.97 on 500 and on 2,000.
 
 Cases: null, empty and zero vectors and those with null or non-finite components take no part, nor do null ids; vectors of
 other lengths than the query's are no candidates; of rows with a query's id none is a candidate, and a repeated query is asked once; with
