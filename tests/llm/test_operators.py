@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,16 +87,17 @@ def test_language_cases(spark, odd):
 # --- 2
 
 
-def test_pieces_equal_the_library():
+def test_pieces_equal_the_library(monkeypatch):
     import sentencepiece as sp
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     r = random.Random(1)
-    parts = ["a", "b", "th", "e", " ", "  ", "▁", "é", "日", "😀", "\n", "ing", "x" * 30, "the ", "ß", " " * 17, "0", "...", "İ"]
+    parts = ["a", "b", "th", "e", " ", "  ", "▁", "é", "日", "😀", "\n", "ing", "x" * 30, "the ", "ß", " " * 17, "0", "...", "İ", "\0"]
     texts = [t for t in TEXTS if t is not None and len(t) < 2000] + ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(2000)]
     p = sp.SentencePieceProcessor(model_file=pieces.PIECE_MODEL)
     model = pieces.Model.load()
-    got = pieces.Encoder(model).encode(texts).to_pylist()
+    monkeypatch.setattr(pieces, "_SLICE", 500)  # many slices
+    got = pieces.Encoder(model).encode(pa.array(texts, pa.string())).to_pylist()
     assert got == [p.encode(t) for t in texts]
     assert [pieces.decode(model, np.array(g, np.int32)) for g in got] == [p.decode(g) for g in got] == [t.replace("▁", " ") for t in texts]
     proto = pb.ModelProto.FromString(open(pieces.PIECE_MODEL, "rb").read())  # the same pieces as a unigram model, with scores that leave no ties
@@ -112,7 +114,7 @@ def test_pieces_equal_the_library():
         plain = [t for t in texts if not re.search(r"(.)\1\1|[日😀]|[ ▁]{2}", t) and len(t) < 60]
         assert len(plain) > 50
         u = sp.SentencePieceProcessor(model_file=f.name)
-        assert pieces.Encoder(pieces.Model.load(f.name)).encode(plain).to_pylist() == [u.encode(t) for t in plain]
+        assert pieces.Encoder(pieces.Model.load(f.name)).encode(pa.array(plain, pa.string())).to_pylist() == [u.encode(t) for t in plain]
 
 
 def test_pieces_cases(spark, odd):
