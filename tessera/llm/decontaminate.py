@@ -1,11 +1,14 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of word characters in lower case. Every 3-word sequence of a benchmark item is counted over all documents;
-an item's seeds are those of its sequences that occur at most ``RARE`` times or are no more frequent than its median one,
-so every item has seeds, however often it was copied. A seed found in a document opens a window as long as the item and half of it again on
-either side; windows of an item that overlap become one. Item and window are aligned word by word (match 2, mismatch and
-gap -1); the score is the alignment's divided by that of the item with itself, and 0.4 or more is a leak (unrelated text stays under 0.2). Copies
-with about a third of their words replaced, dropped or added are found.
+an item's rare seeds are those of its sequences that occur at most ``RARE`` times or are no more frequent than its median one.
+Any sequence found in a document opens a window as long as the item and half of it again on either side; windows of an item
+that overlap become one. Item and window are aligned word by word (match 2, mismatch and
+gap -1); the score is the alignment's divided by that of the item with itself, and 0.4 or more is a leak (unrelated text stays under 0.2).
+A window with a rare seed is aligned at once; one opened by frequent sequences alone only if the words that it shares with the
+item, all matched and no gap between, would reach the threshold, which no leak fails. So counts save alignments and change no result: whether a copy is
+found does not depend on how many others there are. Copies with about a third of their words replaced, dropped or added are found, provided
+that one 3-word sequence is left whole.
 
 Two scans of the documents, without a shuffle of texts: the first shuffles one count per sequence and task, the second
 aligns where it reads. The benchmark is broadcast in slices of at most ``SLICE_WORDS`` words, so a larger one costs more
@@ -54,7 +57,10 @@ class Items:
         self.owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         self.offset = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.empty(0, np.int64)
         self.known, self.number = np.unique(flat, return_inverse=True)
-        self.seeds()
+        self.places = np.argsort(self.number, kind="stable")
+        self.first = np.searchsorted(self.number[self.places], np.arange(len(self.known) + 1))
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
+        self.rare = np.ones(len(self.number), bool)
 
     def sequences(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions and keys of word sequences all of whose words are in the benchmark."""
@@ -83,37 +89,41 @@ class Items:
         ok = self.known[k] == key
         return at[ok], k[ok]
 
-    def seeds(self, counts: np.ndarray | None = None) -> None:
-        """Keeps as seeds what is rare, or no more frequent than its item's median."""
-        use = np.ones(len(self.number), bool)
-        if counts is not None and len(use):
-            own = counts[self.number]
-            for k in range(len(self.words)):
-                at = self.owner == k if len(self.words) < 50 else slice(*np.searchsorted(self.owner, [k, k + 1]))
-                use[at] = own[at] <= max(RARE, np.median(own[at]))
-        order = np.flatnonzero(use)[np.argsort(self.number[use], kind="stable")]
-        self.places, self.first = order, np.searchsorted(self.number[order], np.arange(len(self.known) + 1))
+    def seeds(self, counts: np.ndarray) -> None:
+        """Marks as rare seeds what is rare, or no more frequent than its item's median."""
+        own = counts[self.number]
+        for k in range(len(self.words)):
+            at = slice(*np.searchsorted(self.owner, [k, k + 1]))
+            self.rare[at] = own[at] <= max(RARE, np.median(own[at]))
+
+    def possible(self, item: int, window: np.ndarray) -> bool:
+        """Whether the words shared with the item could make a leak; never false for a window that holds one."""
+        word, times = self.bags[item]
+        k = np.minimum(np.searchsorted(word, window), len(word) - 1)
+        shared = np.minimum(np.bincount(k[word[k] == window], minlength=len(word)), times).sum()
+        return MATCH * shared / (MATCH * len(self.words[item])) >= THRESHOLD
 
     def windows(self, numbers: np.ndarray) -> list[tuple[int, int, int]]:
-        """(index of item, first word, end word), by item and place."""
+        """(index of item, first word, end word) of what is to be aligned, by item and place."""
         at, k = self.hits(numbers)
-        spans: dict[int, list[tuple[int, int]]] = {}
+        spans: dict[int, list[tuple[int, int, bool]]] = {}
         for pos, key in zip(at.tolist(), k.tolist(), strict=True):
             for p in self.places[self.first[key] : self.first[key + 1]].tolist():
                 item, size = int(self.owner[p]), len(self.words[self.owner[p]])
                 start = pos - int(self.offset[p])
                 slack = size // 2 + 5
-                spans.setdefault(item, []).append((max(0, start - slack), min(len(numbers), start + size + slack)))
+                spans.setdefault(item, []).append((max(0, start - slack), min(len(numbers), start + size + slack), bool(self.rare[p])))
         out = []
         for item, own in sorted(spans.items()):
             own.sort()
-            a, b = own[0]
-            for x, y in own[1:]:
+            merged = [own[0]]
+            for x, y, rare in own[1:]:
+                a, b, sure = merged[-1]
                 if x > b:
-                    out.append((item, a, b))
-                    a, b = x, y
-                b = max(b, y)
-            out.append((item, a, b))
+                    merged.append((x, y, rare))
+                else:
+                    merged[-1] = a, max(b, y), sure or rare
+            out += [(item, a, b) for a, b, sure in merged if sure or self.possible(item, numbers[a:b])]
         return out
 
 

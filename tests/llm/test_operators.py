@@ -329,6 +329,34 @@ def test_leaks_against_all_pairs(spark):
     assert got == pytest.approx(want) and len([d for d, _ in got if d >= 10_000]) >= 12
 
 
+@pytest.mark.parametrize("copies", [32, 33, 40, 1000])
+def test_copies_of_an_edited_item_however_many(spark, copies):
+    """Edits at every fifth word leave frequent sequences only: over half of the item's occur nowhere."""
+    item = [f"w{i}" for i in range(40)]
+    edited = ["lead"] * 30 + [f"e{i}" if i % 5 == 4 else x for i, x in enumerate(item)] + ["tail"] * 30
+    other = ["lead"] * 30 + item[:3] + ["tail"] * 30  # a frequent sequence, but no leak
+    docs = spark.createDataFrame([(i, " ".join(edited if i < copies else other)) for i in range(copies + 50)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = decontaminate.leaks(docs, bench).collect()
+    # the last word is an edit too and is left out of the alignment: 32 matches, 7 mismatches
+    assert sorted(r.doc_id for r in got) == list(range(copies)) and {r.score for r in got} == {(64 - 7) / 80}
+    assert decontaminate.clean(docs, bench).count() == 50
+
+
+def test_windows_left_out_hold_no_leak():
+    r = random.Random(8)
+    items = decontaminate.Items([(i, [f"w{r.randrange(12)}" for _ in range(r.randint(5, 20))]) for i in range(20)])
+    items.rare[:] = False
+    left = 0
+    for _ in range(100):
+        numbers = items.numbers(" ".join(f"w{r.randrange(40)}" for _ in range(60)))
+        for k, w in enumerate(items.words):
+            if not items.possible(k, numbers):
+                left += 1
+                assert decontaminate.align([(w, numbers)])[0][0] / (2 * len(w)) < decontaminate.THRESHOLD
+    assert left > 100
+
+
 def test_leak_cases(spark, odd):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "two words"), (4, "One, two; THREE four five six"), (4, "One, two; THREE four five six"), (5, "seven eight nine ten")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x one two three four five six y"), (2, "one two three"), (3, None), (4, "seven eight nine ten")], "doc_id long, text string")
