@@ -180,6 +180,21 @@ def test_nearest_cases(spark):
     assert neighbours.search_own(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_take_one_place(spark):
+    x = np.random.default_rng(4).normal(size=(600, 8))
+    single = [(i, v.tolist()) for i, v in enumerate(x)]
+    near = (1001, (x[0] + 1e-3).tolist())
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    found = lambda rows: sorted(tuple(r)[:3] for r in neighbours.search_own(frame(rows)).collect())
+    want = found([*single, near])
+    assert len(want) == 5 * 12 and (0, 1, 1001) in want
+    assert found([r for r in [*single, near] for _ in range(2)]) == want
+    assert found([*single, *[near] * 200, *[single[0]] * 200]) == want  # a near row, and a query's own
+    assert found([*single, near, (1001, [2 * c for c in near[1]])]) == want  # one id and score from two rows
+    # other vectors of the query's own id are no candidates and take no room
+    assert found([*single, near, *[(0, (x[0] * (1 + 1e-6 * i)).tolist()) for i in range(200)]])[:5] == want[:5]
+
+
 def test_equal_vectors_give_smaller_ids(spark):
     rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(1, 401)]
     got = neighbours.search_own(spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>")).collect()
