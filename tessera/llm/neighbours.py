@@ -114,7 +114,8 @@ def scan(tables: np.ndarray, codes: np.ndarray, keep: int, own: Iterable[tuple[i
     total = np.zeros((len(tables), n), np.int32)
     for j in range(codes.shape[1]):
         total += tables[:, j].take(codes[:, j], axis=1)
-    rank = total * TILE + (TILE - 1 - np.arange(n, dtype=np.int32))
+    kind = np.int64 if 255 * codes.shape[1] * TILE + TILE - 1 > np.iinfo(np.int32).max else np.int32
+    rank = total.astype(kind, copy=False) * TILE + (TILE - 1 - np.arange(n, dtype=kind))
     for i, (a, b) in enumerate(own):
         rank[i, a:b] = -1
     return np.argpartition(-rank, keep - 1, axis=1)[:, :keep] if keep < n else np.broadcast_to(np.arange(n), (len(tables), n))

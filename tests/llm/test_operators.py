@@ -180,6 +180,16 @@ def test_nearest_cases(spark):
     assert neighbours.search_own(df.limit(0)).count() == 0
 
 
+def test_scan_of_many_coordinates():
+    """Sums of 1,100 subspaces, at 255 each, are over 2**31 as ranks."""
+    tables = np.zeros((1, 1_100, 16), np.uint8)
+    tables[:, :, 1] = 255
+    codes = np.zeros((50, 1_100), np.uint8)
+    for i in range(50):
+        codes[i, : 22 * (i + 1)] = 1
+    assert sorted(neighbours.scan(tables, codes, 5)[0]) == [45, 46, 47, 48, 49]
+
+
 def test_repeated_rows_take_one_place(spark):
     x = np.random.default_rng(4).normal(size=(600, 8))
     single = [(i, v.tolist()) for i, v in enumerate(x)]
