@@ -1,14 +1,18 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 A page is cut into lines at its block elements, with the markup stripped. Lines of menus, headers, footers, sidebars,
-notices, adverts, forms and comments, told by element, role, class or id, weigh nothing, and so do lines that are mostly links. The weight of
-any other line is the length of its text; where the page marks an article or main part, only lines in it weigh, and each gets
-a head start, as even a short one is content there. Over the weights slides a window of ``WINDOW`` lines: text begins where
-its sum surges over ``SURGE`` and ends where it dives to nothing; weighty lines between surge and dive are kept.
+notices, adverts, forms and comments, told by element, role, class or id, are set aside and take no part in what follows. Where the page
+marks an article or main part, the other lines in it are the text, whatever their length.
+
+On other pages the distribution decides. A line weighs the length of its text, or nothing if most of it is link. The
+weight dives where lines without weight follow on each other with ``WINDOW`` links or more (a line counts as one at least): these are a menu
+that nothing tells. A stretch between dives whose weight surges over ``SURGE`` is text as a whole, with its headings, short lines and
+lines of links; if none does, as on a page of a few words, all stretches are.
 
 White space inside a line becomes one space, character references are decoded after the markup has gone, lines are joined by
 one newline. One scan, no shuffle; a page is handled whole, in time linear in its length. Cases: null and empty html give
-an empty text; unclosed, crossed and truncated markup is read as far as it goes; a '<' that opens no tag is text. Extra
+an empty text; unclosed, crossed and truncated markup is read as far as it goes; a '<' that opens no tag is text, but a
+line of an unmarked page that is only the beginning of a tag is not. Extra
 columns are kept by ``with_main_text``.
 """
 
@@ -41,6 +45,8 @@ MARKS = frozenset(
     "header masthead footer sidebar side aside rail related widget recommended notice notices cookie cookies consent gdpr banner popup modal overlay alert newsletter subscribe signup "
     "login comment comments commentlist respond reply replies disqus discussion share sharing social toolbar form search copyright".split()
 )
+#: A line that is only the beginning of a tag.
+_UNFINISHED = re.compile(r"</?\w*")
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 #: Of these only a closing tag of the same name ends the part; paragraphs and list items are often left open.
 _HELD = BLOCKS - frozenset("p li dt dd option tr td th thead tbody tfoot hr html body head".split())
@@ -59,19 +65,19 @@ def _marked(attributes: str) -> tuple[bool, str]:
     return False, ""
 
 
-def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
-    """(text, characters inside links, set aside, in the marked main part) of each block that has text."""
+def lines(page: str) -> Iterator[tuple[str, int, bool, bool, int]]:
+    """(text, characters inside links, set aside, in the marked main part, links that begin) of each block that has text."""
     stack: list[tuple[str, bool, bool]] = []  # open parts: name, set aside, main
     aside = main = False
     text: list[str] = []
-    linked, in_link, at = 0, False, 0
+    linked, links, in_link, at = 0, 0, False, 0
 
-    def flush() -> tuple[str, int, bool, bool] | None:
-        nonlocal linked
+    def flush() -> tuple[str, int, bool, bool, int] | None:
+        nonlocal linked, links
         own = " ".join(references.unescape("".join(text)).split())
-        out = (own, linked, aside, main) if own else None
+        out = (own, linked, aside, main, links) if own else None
         text.clear()
-        linked = 0
+        linked = links = 0
         return out
 
     while True:
@@ -95,6 +101,7 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
             continue
         if name == "a":
             in_link = not closing
+            links += in_link
             continue
         if name == "br":
             text.append(" ")
@@ -129,28 +136,32 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
         yield line
 
 
-def weights(found: list[tuple[str, int, bool, bool]]) -> list[int]:
-    told = any(main and not off for _, _, off, main in found)
-    return [0 if off or told and not main else len(t) + SURGE + 1 if told else 0 if 2 * links > len(t) else len(t) for t, links, off, main in found]
-
-
 def main_text(page: str | None) -> str:
-    """The text between the surge and dive points."""
-    found = list(lines(page or ""))
-    w = weights(found)
-    sums, total = [0] * len(w), 0
-    for i in range(len(w) - 1, -1, -1):  # the window of line i reaches to line i + WINDOW - 1
-        total += w[i] - (w[i + WINDOW] if i + WINDOW < len(w) else 0)
-        sums[i] = total
-    kept, inside = [], False
-    for i, x in enumerate(w):
-        if not inside and sums[i] > SURGE:
-            inside = True
-        elif inside and sums[i] == 0:
-            inside = False
-        if inside and x:
-            kept.append(found[i][0])
-    return "\n".join(kept)
+    """The lines of the marked main part, or else of the stretches between dives that surge."""
+    found = [x for x in lines(page or "") if not x[2]]
+    if any(main for _, _, _, main, _ in found):
+        return "\n".join(t for t, _, _, main, _ in found if main)
+    stretches: list[tuple[int, list[str]]] = [(0, [])]
+    run: list[str] = []  # the lines without weight since the last other one, and their links
+    several = 0
+    for text, linked, _, _, links in found:
+        if _UNFINISHED.fullmatch(text):
+            continue
+        if 2 * linked > len(text):
+            run.append(text)
+            several += max(1, links)
+            continue
+        if several >= WINDOW:
+            stretches.append((0, []))
+            run = []
+        weight, own = stretches[-1]
+        own += [*run, text]
+        stretches[-1] = weight + len(text), own
+        run, several = [], 0
+    if several < WINDOW:
+        stretches[-1][1].extend(run)
+    text = [own for weight, own in stretches if weight > SURGE] or [own for _, own in stretches]
+    return "\n".join(t for own in text for t in own)
 
 
 def with_main_text(pages: DataFrame, column: str = "text") -> DataFrame:

@@ -235,6 +235,25 @@ def test_html_cases():
     assert len(html.main_text("<article>" + "<p>word word</p>" * 50_000)) == 10 * 50_000 - 1
 
 
+def test_unmarked_pages_whole():
+    long = "A paragraph of words that go on for quite a while, so that this line alone weighs more than a window has to."
+    assert html.main_text("<div class=post><h1>Short news</h1><p>The bridge is closed today.</p></div>") == "Short news\nThe bridge is closed today."
+    box = "<div class='share'><p>Tweet</p><p>Post</p><p>Mail</p><p>Print</p></div>"
+    assert html.main_text(f"<div><h1>Title</h1>{box}<p>{long}</p>{box}<p>The end.</p><p>By A.</p></div>") == f"Title\n{long}\nThe end.\nBy A."
+    assert html.main_text(f"<div><h1>T</h1><p>a</p><p>b</p><p>c</p><p>{long}</p></div>") == f"T\na\nb\nc\n{long}"
+    link = "<p><a href=x>Read all of the report</a> now</p>"
+    want = "Read all of the report now"
+    assert html.main_text(f"<div>{link}<p>{long}</p>{link}<p>{long}</p>{link}</div>") == "\n".join([want, long, want, long, want])
+    assert html.main_text(link) == want
+    verse = "<p>A short line of a poem</p>" * 8
+    assert html.main_text(f"<div>{verse}</div><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul><div>{long}</div>").count("poem") == 8
+    # menus that nothing tells go, with the few words beyond them
+    for menu in ("<ul><li><a>Home</a><li><a>News</a><li><a>About</a></ul>", "<div><a>Home</a> | <a>News</a> | <a>About</a></div>"):
+        assert html.main_text(f"<p>Skip</p>{menu}<div><h1>Title</h1><p>{long}</p></div>{menu}<p>Site 2024</p>") == f"Title\n{long}"
+    # where an article is marked, it decides: its short lines and links stay, long lines elsewhere go
+    assert html.main_text(f"<p>{long}</p><article><p>a</p>{link * 4}</article><p>{long}</p>") == "\n".join(["a", *[want] * 4])
+
+
 # --- 6
 
 
