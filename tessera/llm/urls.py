@@ -6,7 +6,7 @@ the rule's; the longest fitting rule decides, of equally long ones the first by
 
 Features: length of URL and host, labels, depth, digit ratio, entropy of the host's characters, parameters, hyphens, longest run of
 consonants, and suffix statistics: the smoothed share of unwanted URLs by top-level domain and by the last three
-letters of the name before it, counted from the labelled URLs (a bounded table). All are cut to small integers.
+letters of the name before it, counted from the labelled URLs: of all suffixes, as literals up to ``LITERALS`` of them and as a joined table beyond. All are cut to small integers.
 
 Training: logistic loss, ``TREES`` trees of depth ``DEPTH`` by Newton steps. A level is one aggregation of gradients
 by (leaf, feature, bin), of which a table of fixed size comes back; the labelled URLs are ``LABELLED`` rows made by
@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, drop_cut
+from tessera.llm.common import cut, drop_cut, small
 
 #: (kind, host, path): fixed values of the task.
 RULES = (
@@ -32,6 +32,8 @@ RULES = (
 )
 TREES, DEPTH, RATE, DAMP = 10, 3, 0.5, 1.0
 LABELLED = 4_000
+#: Suffixes up to which their rates are literals of the expressions.
+LITERALS = 500
 BINS = 32
 #: Words that unwanted and wanted host names are made of, for labelled URLs by rule.
 UNWANTED = "free cheap casino bets bet poker pills pharma adult xxx spam farm ads ad track tracker click win winner loans loan replica promo seo clicks offers hot deal slots bonus crack keygen warez viagra dating x".split()
@@ -115,22 +117,31 @@ def labelled_by_rule(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     return spark.range(0, rows, 1, 4).select(url.alias("url"), bad.cast("int").alias("unwanted"))
 
 
-def suffix_rates(labelled: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Shares of unwanted URLs, smoothed to one half; at most 500 of the most frequent suffixes each."""
+def suffix_rates(labelled: DataFrame) -> list[dict[str, float] | DataFrame]:
+    """Shares of unwanted URLs by suffix, smoothed to one half, for each kind of suffix; a table (s, rate) if they are more than LITERALS."""
     host, _ = host_path(F.col("url"))
-    out = []
+    out: list[dict[str, float] | DataFrame] = []
     for column in suffixes(host):
-        rows = labelled.select(column.alias("s"), "unwanted").groupBy("s").agg(F.sum("unwanted").alias("bad"), F.count("*").alias("n")).orderBy(F.desc("n"), "s").limit(500).collect()
-        out.append({r.s: round((r.bad + 4) / (r.n + 8), 3) for r in rows})
-    return out[0], out[1]
+        counts = labelled.select(column.alias("s"), "unwanted").groupBy("s").agg(F.sum("unwanted").alias("bad"), F.count("*").alias("n"))
+        rows = counts.limit(LITERALS + 1).collect()
+        if len(rows) <= LITERALS:
+            out.append({r.s: round((r.bad + 4) / (r.n + 8), 3) for r in rows})
+        else:
+            out.append(cut(counts.select("s", F.round((F.col("bad") + 4) / (F.col("n") + 8), 3).alias("rate")), "suffixes"))
+    return out
 
 
-def _rates(host: Column, known: tuple[dict[str, float], dict[str, float]]) -> tuple[Column, Column]:
+def _rates(rows: DataFrame, host: Column, known: list[dict[str, float] | DataFrame]) -> tuple[DataFrame, tuple[Column, Column]]:
+    """The rows, joined with the tables that are needed, and the columns of rates."""
     made = []
-    for column, rates in zip(suffixes(host), known, strict=True):
+    for i, (column, rates) in enumerate(zip(suffixes(host), known, strict=True)):
+        if isinstance(rates, DataFrame):
+            rows = rows.join(small(rates.toDF(f"__s{i}", f"__rate{i}")), column == F.col(f"__s{i}"), "left")
+            made.append(F.coalesce(F.col(f"__rate{i}"), F.lit(0.5)))
+            continue
         table = F.create_map(*[F.lit(x) for kv in sorted(rates.items()) for x in kv]) if rates else None
         made.append(F.coalesce(table[column], F.lit(0.5)) if rates else F.lit(0.5))
-    return made[0], made[1]
+    return rows, (made[0], made[1])
 
 
 class Trees:
@@ -171,7 +182,8 @@ def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Trees:
     half = F.xxhash64("url", F.lit(1)) % 2 == 0
     known = suffix_rates(labelled.where(half))  # counted on one half, used as features on the other, so that trees see them as they will be
     labelled = labelled.where(~half)
-    made = features(F.col("url"), host, path, _rates(host, known))
+    labelled, rates = _rates(labelled, host, known)
+    made = features(F.col("url"), host, path, rates)
     rows = cut(labelled.select(F.col("unwanted").alias("y"), *[v.alias(k) for k, v in made.items()]).groupBy("y", *made).agg(F.count("*").alias("k")).coalesce(1), "urls")
     bad, n = rows.agg(F.sum(F.col("y") * F.col("k")), F.sum("k")).first()
     model = Trees(math.log(((bad or 0) + 1) / ((n or 0) - (bad or 0) + 1)), known)
@@ -214,7 +226,8 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     model = fit(labelled_by_rule(pages.sparkSession) if labelled is None else labelled.select("url", F.col("unwanted").cast("int").alias("unwanted")).where("unwanted is not null"))
     host, path = host_path(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    made = features(F.col("url"), F.col("host"), F.col("path"), _rates(F.col("host"), model.rates))
+    rows, rates = _rates(rows, F.col("host"), model.rates)
+    made = features(F.col("url"), F.col("host"), F.col("path"), rates)
     rows = rows.select("page_id", "host", "path", *[v.alias(k) for k, v in made.items()])
     rule, kind = rule_of(F.col("host"), F.col("path"))
     by_trees = F.when(model.margin() > 0, F.lit("block")).otherwise(F.lit("allow"))

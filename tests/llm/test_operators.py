@@ -286,6 +286,18 @@ def test_url_trees_on_held_out_urls(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_rates_of_rare_suffixes(spark):
+    """Only the ending of the name tells, and there are more endings than 500."""
+    ends = [a + b + c for a in "bdfgklmn" for b in "aeiou" for c in "bcdfghjklmnprstvx"][:600]
+    rows = [(f"https://ab{i}cd{e}.com/x", int(k % 2 == 0)) for k, e in enumerate(ends) for i in range(10, 50)]
+    pages = spark.createDataFrame([(k, f"https://ab77cd{e}.com/x") for k, e in enumerate(ends)], "page_id long, url string")
+    out = urls.judge(pages, spark.createDataFrame(rows, "url string, unwanted int")).collect()
+    assert len(out) == 600
+    for part in (range(500), range(500, 600)):  # equally frequent ones were taken by their letters
+        own = [r.verdict == ("block" if r.page_id % 2 == 0 else "allow") for r in out if sorted(ends).index(ends[r.page_id]) in part]
+        assert sum(own) > 0.95 * len(own)
+
+
 # --- 7
 
 
