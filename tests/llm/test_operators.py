@@ -225,6 +225,9 @@ def test_articles_whole(spark):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+LONG = "A paragraph of words that go on for quite a while, so that this line alone weighs more than a window has to."
+
+
 def test_html_cases():
     page = """<html><body><header class="site"><h1>Site</h1></header><div class="cookie-notice">We use cookies here, many of them, and so you should know about it all.</div>
     <div id="content"><h1>Title &amp; more</h1><p>First   para <a href=x>link</a> with words that go on for quite a while, so that it counts as text.<p>1 < 2 &nbsp; and long enough again to be taken for text by the window.</div>
@@ -235,23 +238,136 @@ def test_html_cases():
     assert len(html.main_text("<article>" + "<p>word word</p>" * 50_000)) == 10 * 50_000 - 1
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<p title="a hidden gem">x</p><p data-id="nav">y</p>', "x\ny"),
+        ('<div class="search-results"><h2 class="article-header">T</h2><p class="share-price">y</p></div>', "T\ny"),
+        ("<p hidden>secret<p>y after", "y after"),
+        ("<ul><li hidden>a<li>b<ul><li>c</ul><li class=ad>d<li>e</ul>", "b\nc\ne"),
+        ("<table><tr><td hidden>a<td>b<tr hidden><td>d<tr><td>c</table>", "b\nc"),
+        ("<dl><dt hidden>a<dd>b<dt>c</dl>", "b\nc"),
+        ("<article>teaser</article><div>" + f"<p>{LONG}</p>" * 3 + "</div>", "\n".join(["teaser", LONG, LONG, LONG])),
+        ('a <span class="ad">no<span>x</span>y</span>b', "a b"),
+        ('<p title="x>text here <b>more</b></p>', "text here more"),
+        ("<p title='x'y>text</p>", "text"),
+        ('<body class="header-fixed search"><p>k', "k"),
+        ('<div class="site-header">h</div><div id="ad-300x250">q</div><div class="cookieNotice">z</div>k', "k"),
+        ("<a href=x>unclosed <p>text one</p><p>two</p>", "unclosed\ntext one\ntwo"),
+        ("<head><title>t</title><p>x", "x"),
+        ("x &am<b>p; &#0000000065;&#99999999999;&#" + "9" * 5000 + ";", "x &amp; A\ufffd\ufffd"),
+        ("<p>x<!--> y <!-- z", "x y"),
+        ("<script>a</scripty></script >x<style>y", "x"),
+        ("1 < 2 <3 </ x> </3> y", "1 < 2 <3 y"),
+    ],
+)
+def test_markup(page, want):
+    assert html.main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    "pattern",
+    ["<a ", "<div>", '<a "', '<a x="', "</script", "<!--", "<", "<p>", "<li><section><div>", "<td>", "<span class=ad>", "&#9", "&", "<b/", "<a ='>", "<a>x</a>", "</", "<!", "<a b  ", "<dd><div>", "<table><tr><td>", "<span hidden><span>", "</ul>", "<ul><li>"],
+)
+def test_hostile_pages_take_linear_time(pattern):
+    import time
+
+    def seconds(page):
+        at = time.process_time()
+        html.main_text(page)
+        return time.process_time() - at
+
+    page = (pattern * 1_000_000)[: 1_000_000]
+    assert seconds(page) < 6  # under 2 on an idle machine
+    assert seconds("<div>" * 100_000 + page[:500_000]) < 6
+
+
+def test_line_blocks_against_their_definition(monkeypatch):
+    """Window sums over single lines and links, without the extractor's runs and stretches."""
+
+    def plain(found):
+        units = [(i, w) for i, (_, w, links) in enumerate(found) for _ in range(links if links and not w else 1)]
+        zero = [all(w == 0 and found[i][2] for i, w in units[k : k + html.WINDOW]) and k + html.WINDOW <= len(units) for k in range(len(units))]
+        dived = {units[k + j][0] for k, z in enumerate(zero) if z for j in range(html.WINDOW)}
+        regions, last = [], None
+        for i in range(len(found)):
+            if i not in dived:
+                if last != i - 1 or not regions:
+                    regions.append([])
+                regions[-1].append(i)
+                last = i
+        sums = lambda r: [sum(found[i][1] for i in r[k : k + html.WINDOW]) for k in range(len(r))]
+        surging = [r for r in regions if max(sums(r)) > html.SURGE] or regions or [range(len(found))]
+        return "\n".join(found[i][0] for r in surging for i in r)
+
+    r = random.Random(11)
+    differs = 0
+    for _ in range(1500):
+        blocks, found = [], []
+        for k in range(r.randint(1, 14)):
+            kind = r.random()
+            if kind < 0.5:
+                words = f"t{k} " + " ".join("w" * r.randint(1, 9) for _ in range(r.choice([0, 2, 12])))
+                words = words.strip()
+                blocks.append(f"<p>{words}</p>")
+                found.append((words, len(words), 0))
+            else:
+                n = r.randint(1, 4)
+                blocks.append("<li>" + " | ".join(f"<a href=x>l{k}{j}</a>" for j in range(n)) + "</li>")
+                found.append((" | ".join(f"l{k}{j}" for j in range(n)), 0, n))
+        page = "".join(blocks)
+        assert html.main_text(page) == plain(found), page
+        for name, value in (("WINDOW", 1), ("SURGE", 10**6)):
+            with monkeypatch.context() as m:
+                m.setattr(html, name, value)
+                assert html.main_text(page) == plain(found)
+        differs += html.main_text(page) != "\n".join(x[0] for x in found)
+    assert differs > 300
+
+
+def test_windows_decide_on_marked_pages_too(monkeypatch):
+    menu = "<ul><li><a>Home</a><li><a>News</a><li><a>About</a></ul>"
+    page = f"<div><p>Notice.</p></div><article><h1>T</h1>{menu}<p>End.</p></article><div>{f'<p>{LONG}</p>' * 2}</div>"
+    assert html.main_text(page) == "\n".join(["T", "End.", LONG, LONG])
+    monkeypatch.setattr(html, "WINDOW", 4)
+    assert html.main_text(page) == "\n".join(["T", "Home", "News", "About", "End.", LONG, LONG])
+    monkeypatch.setattr(html, "SURGE", 10_000)
+    assert html.main_text(page) == "\n".join(["T", "Home", "News", "About", "End."])
+
+
+def test_articles_without_their_element(spark):
+    """The same text where only window sums can tell it."""
+    for r in table(spark, "/root/testdata/sf0.1", "pages").limit(400).collect():
+        assert html.main_text(re.sub("</?article>", "", r.html)) == html.main_text(r.html)
+
+
+def test_html_frames(spark):
+    rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>a"), (3, "u", "<p>a"), (None, "u", "<p>" + "b " * 100_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((str(r.page_id), r.url, r.text[:3], r.n_chars) for r in html.extract(df.withColumn("text", F.lit("x")).withColumn("n_chars", F.lit(0))).collect())
+    assert got == sorted([("1", "u", "", 0), ("2", None, "", 0), ("3", "u", "a", 1), ("3", "u", "a", 1), ("None", "u", "b b", 199_999)])
+    assert html.extract(df.limit(0)).count() == 0
+    assert html.with_main_text(df.withColumn("x", F.lit(1)), "main").columns == ["page_id", "url", "html", "x", "main"]
+    with pytest.raises(ValueError):
+        html.with_main_text(df.withColumn("TEXT", F.lit(1)))
+
+
 def test_unmarked_pages_whole():
-    long = "A paragraph of words that go on for quite a while, so that this line alone weighs more than a window has to."
     assert html.main_text("<div class=post><h1>Short news</h1><p>The bridge is closed today.</p></div>") == "Short news\nThe bridge is closed today."
     box = "<div class='share'><p>Tweet</p><p>Post</p><p>Mail</p><p>Print</p></div>"
-    assert html.main_text(f"<div><h1>Title</h1>{box}<p>{long}</p>{box}<p>The end.</p><p>By A.</p></div>") == f"Title\n{long}\nThe end.\nBy A."
-    assert html.main_text(f"<div><h1>T</h1><p>a</p><p>b</p><p>c</p><p>{long}</p></div>") == f"T\na\nb\nc\n{long}"
+    assert html.main_text(f"<div><h1>Title</h1>{box}<p>{LONG}</p>{box}<p>The end.</p><p>By A.</p></div>") == f"Title\n{LONG}\nThe end.\nBy A."
+    assert html.main_text(f"<div><h1>T</h1><p>a</p><p>b</p><p>c</p><p>{LONG}</p></div>") == f"T\na\nb\nc\n{LONG}"
     link = "<p><a href=x>Read all of the report</a> now</p>"
     want = "Read all of the report now"
-    assert html.main_text(f"<div>{link}<p>{long}</p>{link}<p>{long}</p>{link}</div>") == "\n".join([want, long, want, long, want])
+    assert html.main_text(f"<div>{link}<p>{LONG}</p>{link}<p>{LONG}</p>{link}</div>") == "\n".join([want, LONG, want, LONG, want])
     assert html.main_text(link) == want
     verse = "<p>A short line of a poem</p>" * 8
-    assert html.main_text(f"<div>{verse}</div><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul><div>{long}</div>").count("poem") == 8
+    assert html.main_text(f"<div>{verse}</div><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul><div>{LONG}</div>").count("poem") == 8
     # menus that nothing tells go, with the few words beyond them
     for menu in ("<ul><li><a>Home</a><li><a>News</a><li><a>About</a></ul>", "<div><a>Home</a> | <a>News</a> | <a>About</a></div>"):
-        assert html.main_text(f"<p>Skip</p>{menu}<div><h1>Title</h1><p>{long}</p></div>{menu}<p>Site 2024</p>") == f"Title\n{long}"
-    # where an article is marked, it decides: its short lines and links stay, long lines elsewhere go
-    assert html.main_text(f"<p>{long}</p><article><p>a</p>{link * 4}</article><p>{long}</p>") == "\n".join(["a", *[want] * 4])
+        assert html.main_text(f"<p>Skip</p>{menu}<div><h1>Title</h1><p>{LONG}</p></div>{menu}<p>Site 2024</p>") == f"Title\n{LONG}"
+    # where an article is marked, its short lines and links stay; what is outside and weighs less goes
+    assert html.main_text(f"<p>{LONG}</p><article><p>{LONG}</p>{link * 4}</article><p>{LONG}</p>") == "\n".join([LONG, *[want] * 4])
 
 
 # --- 6
