@@ -64,7 +64,8 @@ def _list_hashes(lists: pa.Array) -> pa.Array:
 
 def string_hashes(keywords: Column) -> Column:
     """array<string> to array<int>, element by element; a null list gives an empty one."""
-    return F.arrow_udf(_list_hashes, "array<int>")(keywords)
+    # as not deterministic, so that no filter that is inferred from what is made of it evaluates it again
+    return F.arrow_udf(_list_hashes, "array<int>").asNondeterministic()(keywords)
 
 
 def _seeded(h: Column, seed: int) -> Column:

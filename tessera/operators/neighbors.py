@@ -8,16 +8,20 @@ query that has none; 'drop' leaves it out.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import cached_property, reduce
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.minhash import LARGEST, jaccard, signature
+from tessera.functions.minhash import LARGEST, hashed_signature, jaccard, string_hashes
+from tessera.store import BROADCAST_BYTES, cut, drop_cut, small
 
 
 class Construction(Protocol):
+    #: Whether ``eval`` reads only what ``hashed`` gives.
+    hashes: bool
+
     def eval(self, queries: DataFrame) -> DataFrame: ...
 
 
@@ -25,9 +29,19 @@ def _points(df: DataFrame) -> DataFrame:
     return df.select("id", F.array_distinct("keywords").alias("keywords")).where(F.size("keywords") > 0)
 
 
-def signatures(points: DataFrame, seed: int) -> DataFrame:
-    """(id, sig)."""
-    return points.where(F.size("keywords") > 0).select("id", signature(F.col("keywords"), seed).alias("sig"))
+def hashed(points: DataFrame) -> DataFrame:
+    """(id, hashes): every keyword hashed once, whatever number of seeds, indexes and lookups follows, and written to the shared folder.
+    What is hashed already is returned as it is. Points without a keyword keep their row, and have no signature."""
+    if "hashes" in points.columns:
+        return points
+    return cut(points.select("id", string_hashes(F.col("keywords")).alias("hashes")), "hashes")
+
+
+def signatures(points: DataFrame, *seeds: int) -> DataFrame:
+    """(id, sig) for one seed; (id, sig_<seed>, ...) for several. The points may be hashed already; if not, they are hashed in this plan."""
+    rows = points if "hashes" in points.columns else points.select("id", string_hashes(F.col("keywords")).alias("hashes"))
+    names = ["sig"] if len(seeds) == 1 else [f"sig_{s}" for s in seeds]
+    return rows.where(F.size("hashes") > 0).select("id", *[hashed_signature(F.col("hashes"), s).alias(n) for s, n in zip(seeds, names, strict=True)])
 
 
 def _finish(queries: DataFrame, pairs: DataFrame, on_miss: str) -> DataFrame:
@@ -40,6 +54,8 @@ class ExactNN:
     """Similarity strictly over ``threshold``, by prefix filtering: with keywords in one global order, rarest first, two
     sets over the threshold share a keyword among the first |S| - floor(t|S|) of each, so frequent keywords are seldom joined on."""
 
+    hashes = False
+
     def __init__(self, data: DataFrame, threshold: float, on_miss: str = "drop"):
         self.data, self.threshold, self.on_miss = _points(data), threshold, on_miss
 
@@ -64,30 +80,37 @@ class ExactNN:
 
 
 class BaseLSH:
-    """Equal signatures for one seed, by a shuffle join (AQE splits hot signatures)."""
+    """Equal signatures for one seed, by a shuffle join (AQE splits hot signatures). The data are hashed once, when the construction is made."""
+
+    hashes = True
 
     def __init__(self, data: DataFrame, seed: int, on_miss: str = "drop"):
-        self.seed, self.on_miss = seed, on_miss
-        self.index = signatures(_points(data), seed).select(F.col("id").alias("neighbor_id"), "sig")
+        self.data, self.seed, self.on_miss = hashed(data), seed, on_miss
+
+    @cached_property
+    def index(self) -> DataFrame:
+        """(neighbor_id, sig), made with the first lookup and written."""
+        return cut(signatures(self.data, self.seed).select(F.col("id").alias("neighbor_id"), "sig"), "index")
 
     def _lookup(self, keyed: DataFrame) -> DataFrame:
         return keyed.join(self.index, "sig")
 
     def eval(self, queries: DataFrame) -> DataFrame:
-        keyed = signatures(_points(queries), self.seed).select(F.col("id").alias("query_id"), "sig")
+        queries = hashed(queries)
+        keyed = cut(signatures(queries, self.seed).select(F.col("id").alias("query_id"), "sig"), "keyed")  # so that the join's filter on sig makes none twice
         return _finish(queries, self._lookup(keyed).select("query_id", "neighbor_id"), self.on_miss)
 
 
 class BroadcastLSH(BaseLSH):
-    """The index goes to every executor, if it has at most ``limit`` rows; beyond that the lookup is the shuffle join."""
+    """The index goes to every executor, if it has been measured to take at most ``limit`` bytes; beyond that the lookup is the shuffle join."""
 
-    def __init__(self, data: DataFrame, seed: int, on_miss: str = "drop", limit: int = 1_000_000):
+    def __init__(self, data: DataFrame, seed: int, on_miss: str = "drop", limit: int = BROADCAST_BYTES):
         super().__init__(data, seed, on_miss)
         self.limit = limit
 
-    def _lookup(self, keyed: DataFrame) -> DataFrame:
-        small = self.index.limit(self.limit + 1).count() <= self.limit
-        return keyed.join(F.broadcast(self.index) if small else self.index, "sig")
+    @cached_property
+    def index(self) -> DataFrame:
+        return small(super().index, self.limit)
 
 
 def histogram(sigs: DataFrame) -> DataFrame:
@@ -106,45 +129,104 @@ def boundaries(hist: DataFrame, partitions: int) -> DataFrame:
 
 
 class BalancedLSH(BaseLSH):
-    """Both sides are dealt to signature ranges of about equal numbers of queries, and joined on (range, signature)."""
+    """Queries and index are dealt to partitions by signature ranges that hold about equal numbers of queries.
+
+    A signature that more queries have than a partition's share gets a partition for each share: its queries are dealt to these by a
+    hash, and its index rows go to each of them. Both sides go to the partitions so named, and the join adds no exchange.
+    What comes to the driver is bounded by the number of partitions.
+    """
 
     def __init__(self, data: DataFrame, seed: int, partitions: int = 8, on_miss: str = "drop"):
         super().__init__(data, seed, on_miss)
         self.partitions = partitions
 
     def _lookup(self, keyed: DataFrame) -> DataFrame:
-        cuts = F.broadcast(boundaries(histogram(keyed.select("sig")), self.partitions))  # one row, at most partitions + 1 cuts
-        dealt = lambda df: df.join(cuts).withColumn("pid", F.expr("size(filter(bounds, b -> b <= sig))")).drop("bounds").repartition(self.partitions, "pid", "sig")
-        return dealt(keyed).join(dealt(self.index), ["pid", "sig"])
+        counts = cut(histogram(keyed.select("sig")), "histogram")
+        bounds = boundaries(counts, self.partitions).first()["bounds"] or []
+        share = -(-(counts.agg(F.sum("count")).first()[0] or 1) // self.partitions)
+        places, free = {}, len(bounds) + 1
+        for r in sorted(counts.where(F.col("count") > share).collect()):  # fewer than partitions
+            places[r.sig] = (free, -(-r["count"] // share))
+            free += places[r.sig][1]
+        drop_cut(counts)
+        own = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<int>"), lambda b: b <= F.col("sig")))
+        first, number = (F.create_map(*[F.lit(x) for s, v in places.items() for x in (s, v[i])])[F.col("sig")] if places else F.lit(None).cast("int") for i in (0, 1))
+        hot = first.isNotNull()
+        asked = keyed.withColumn("pid", F.when(hot, first + F.pmod(F.xxhash64("query_id"), number).cast("int")).otherwise(own))
+        held = self.index.withColumn("pid", F.explode(F.when(hot, F.sequence(first, first + number - 1)).otherwise(F.array(own))))
+        return asked.repartitionById(free, "pid").join(held.repartitionById(free, "pid").hint("merge"), ["pid", "sig"])
+
+
+def _alike(children: Sequence[Construction]) -> bool:
+    """Whether all are plain lookups in one hashed table."""
+    return all(type(c) is BaseLSH and c.on_miss == "drop" and c.data is children[0].data for c in children) and len({c.seed for c in children}) == len(children) > 1
+
+
+def _each(children: Sequence[Construction], queries: DataFrame) -> list[DataFrame]:
+    """Results of all children; what several read of the queries is hashed once."""
+    own = hashed(queries) if any(c.hashes for c in children) else queries
+    return [c.eval(own if c.hashes else queries) for c in children]
+
+
+class _Shared:
+    """What plain lookups in one table share: one row of signatures a point, made with the first lookup and written."""
+
+    def __init__(self, children: Sequence[BaseLSH]):
+        self.seeds = [c.seed for c in children]
+        self.names, self.data = [f"sig_{s}" for s in self.seeds], children[0].data
+
+    @cached_property
+    def index(self) -> DataFrame:
+        return cut(signatures(self.data, *self.seeds), "index")
+
+    def sides(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        own = self.index if queries is self.data else cut(signatures(hashed(queries), *self.seeds), "keyed")
+        return own.withColumnRenamed("id", "query_id").alias("a"), self.index.withColumnRenamed("id", "neighbor_id").alias("b")
 
 
 class AndOf:
-    """Neighbours that every child finds."""
+    """Neighbours that every child finds. Plain lookups in one table are one join on all their signatures."""
 
     def __init__(self, children: Sequence[Construction]):
         self.children = children
+        self.hashes = all(c.hashes for c in children)
+        self.shared = _Shared(children) if _alike(children) else None
 
     def eval(self, queries: DataFrame) -> DataFrame:
-        return reduce(lambda a, b: a.intersect(b), [c.eval(queries) for c in self.children])
+        if self.shared:
+            a, b = self.shared.sides(queries)
+            return a.join(b, self.shared.names).select("query_id", "neighbor_id")
+        return reduce(lambda a, b: a.intersect(b), _each(self.children, queries))
 
 
 class OrOf:
-    """Neighbours that any child finds; a query that one child misses keeps what the others find."""
+    """Neighbours that any child finds; a query that one child misses keeps what the others find. Of plain lookups in one table each leaves out
+    the pairs that one before it finds, so that no pairs are shuffled to find repeats."""
 
     def __init__(self, children: Sequence[Construction]):
         self.children = children
+        self.hashes = all(c.hashes for c in children)
+        self.shared = _Shared(children) if _alike(children) else None
 
     def eval(self, queries: DataFrame) -> DataFrame:
-        return reduce(lambda a, b: a.union(b), [c.eval(queries) for c in self.children]).distinct()
+        if self.shared:
+            (a, b), names, found = self.shared.sides(queries), self.shared.names, []
+            for i, name in enumerate(names):
+                new = reduce(lambda x, n: x & (F.col(f"a.{n}") != F.col(f"b.{n}")), names[:i], F.col(f"a.{name}") == F.col(f"b.{name}"))
+                found.append(a.join(b, new).select("query_id", "neighbor_id"))
+            return reduce(DataFrame.union, found)
+        return reduce(DataFrame.union, _each(self.children, queries)).distinct()
 
 
 def precise(data: DataFrame) -> AndOf:
     """AND over seeds 42 to 45: few false neighbours."""
+    data = hashed(data)
     return AndOf([BaseLSH(data, s) for s in range(42, 46)])
 
 
 def thorough(data: DataFrame) -> OrOf:
     """OR over seeds 42 to 46: few missed neighbours."""
+    data = hashed(data)
     return OrOf([BaseLSH(data, s) for s in range(42, 47)])
 
 

@@ -1,8 +1,7 @@
 """Run-length frames: one row per run, (start_vid, length, value columns); filters, projections, aggregates and joins
 work on runs, and ``decode`` is the only step that repeats values.
 
-Positions (vids) are dense from 0 in a total order given by the caller. They are made without a one-partition sort:
-rows are range-partitioned, numbered inside a partition, and shifted by the counts of the partitions before.
+Positions (vids) are dense from 0 in a total order given by the caller. They are made without a one-partition sort.
 """
 
 from __future__ import annotations
@@ -10,27 +9,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.relational import numbered
+
 #: Rows of one window partition while runs are found, and positions of one bin while ranges are intersected.
 BLOCK = 65_536
 #: Positions that one generated row expands to at most while decoding.
 CHUNK = 8_192
 
 
-def with_vid(df: DataFrame, order_by: Sequence[str], partitions: int | None = None) -> DataFrame:
+def with_vid(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Adds ``vid``. ``order_by`` must be a total order, else equal rows get their positions in any order."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c).asc_nulls_first() for c in order_by]
-    # Range bounds are sampled anew for each exchange, so both uses below read one persisted exchange; a lost block is made
-    # again with the same bounds. An explicit partition count keeps adaptive execution from merging partitions.
-    ranged = df.repartitionByRange(n, *keys).withColumn("__p", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    shift = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
-    own = F.row_number().over(Window.partitionBy("__p").orderBy(*keys)) - 1
-    return ranged.withColumn("__i", own).join(F.broadcast(shift), "__p").withColumn("vid", (F.col("__i") + F.col("__shift")).cast("long")).drop("__p", "__i", "__shift")
+    return numbered(df, [F.col(c).asc_nulls_first() for c in order_by], "vid")
 
 
 def encode(df: DataFrame, values: Sequence[str], order_by: Sequence[str] | None = None, vid: str = "vid") -> "RLEFrame":

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.metrics import mean_distance, quality
-from tessera.functions.minhash import hashed_signature, string_hashes
 from tessera.operators import neighbors as nn
 from tessera.operators import relational as rel
 from tessera.operators import rle
 from tessera.sources import catalog
+from tessera.store import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,8 +81,26 @@ _sql(
 def sort_multi_key(spark: SparkSession, root: str) -> DataFrame:
     """The order shows as a position, as a comparison of row sets forgets order."""
     df = catalog.table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    keyed = df.withColumn("k", -F.unix_micros(F.col("l_shipdate").cast("timestamp")))
-    return rle.with_vid(keyed, ["k", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).withColumn("pos", F.col("vid") + 1).drop("vid", "k")
+    keys = [("l_shipdate", "desc"), *[(c, "asc") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]]
+    return rel.numbered(df, rel.order(keys), "pos").withColumn("pos", F.col("pos") + 1)
+
+
+_CENTS = "CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY o_orderpriority DESC NULLS LAST, {_CENTS} DESC NULLS LAST, o_orderkey) AS pos, o_orderkey, {_CENTS} AS price FROM orders")
+def sort_nulls_last(spark: SparkSession, root: str) -> DataFrame:
+    """A total order on several keys in both directions, one of them often null."""
+    df = catalog.table(spark, root, "orders").select("o_orderkey", "o_orderpriority", F.expr(_CENTS).alias("price"))
+    placed = rel.numbered(df, rel.order([("o_orderpriority", "desc"), ("price", "desc"), ("o_orderkey", "asc")]), "pos")
+    return placed.select(F.col("pos") + 1, "o_orderkey", "price").toDF("pos", "o_orderkey", "price")
+
+
+@query(f"SELECT o_orderkey, {_CENTS} AS price FROM orders ORDER BY price DESC NULLS LAST, o_orderkey LIMIT 100 OFFSET (SELECT count({_CENTS}) - 50 FROM orders)")
+def sort_offset_into_nulls(spark: SparkSession, root: str) -> DataFrame:
+    """The last rows with a value and the first without."""
+    df = catalog.table(spark, root, "orders").select("o_orderkey", F.expr(_CENTS).alias("price"))
+    return rel.sort(df, [("price", "desc"), ("o_orderkey", "asc")], offset=df.agg(F.count("price")).first()[0] - 50, fetch=100)
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25 OFFSET 40")
@@ -156,7 +174,8 @@ def rle_join(spark: SparkSession, root: str) -> DataFrame:
     f"FROM {_runs_sql('l_orderkey')} a JOIN {_runs_sql('l_returnflag')} b ON a.start_vid < b.start_vid + b.length AND b.start_vid < a.start_vid + a.length"
 )
 def rle_reconstruct(spark: SparkSession, root: str) -> DataFrame:
-    return _runs(spark, root, "l_orderkey").reconstruct(_runs(spark, root, "l_returnflag")).runs
+    rows = rle.with_vid(catalog.table(spark, root, "lineitem").select("l_returnflag", *_ORDER), _ORDER)  # numbered once for both columns
+    return rle.encode(rows, ["l_orderkey"]).reconstruct(rle.encode(rows, ["l_returnflag"])).runs
 
 
 # --- keyword sets: the distinct sentences of a document
@@ -203,8 +222,7 @@ _EXACT = (
 
 @query(_with([42, 43]) + " SELECT id, s42.sig AS sig_42, s43.sig AS sig_43 FROM s42 JOIN s43 USING (id)")
 def minhash_signature(spark: SparkSession, root: str) -> DataFrame:
-    p = _sentences(spark, root).where(F.size("keywords") > 0).select("id", string_hashes(F.col("keywords")).alias("h"))
-    return p.select("id", hashed_signature(F.col("h"), 42).alias("sig_42"), hashed_signature(F.col("h"), 43).alias("sig_43"))
+    return nn.signatures(_sentences(spark, root), 42, 43)
 
 
 @query(_with([43]) + " SELECT sig, count(*) AS \"count\" FROM s43 GROUP BY sig")
@@ -223,9 +241,11 @@ def equi_depth_boundaries(spark: SparkSession, root: str) -> DataFrame:
     return nn.boundaries(nn.histogram(nn.signatures(_sentences(spark, root), 43)), 8).select(F.explode("bounds").alias("bound"))
 
 
-def _lookup(name: str, make, sql: str) -> None:
+def _lookup(name: str, make, sql: str, prepare=nn.hashed) -> None:
+    """All documents looked up in an index of all; they are hashed once for both sides and all seeds."""
+
     def run(spark: SparkSession, root: str) -> DataFrame:
-        p = _sentences(spark, root)
+        p = prepare(_sentences(spark, root))
         return make(p).eval(p)
 
     QUERIES[name], ORACLES[name] = run, sql
@@ -236,14 +256,42 @@ _lookup("lsh_broadcast", lambda p: nn.BroadcastLSH(p, 43), _with([43]) + " " + _
 _lookup("lsh_balanced", lambda p: nn.BalancedLSH(p, 43, 8), _with([43]) + " " + _pairs_sql(43))
 _lookup("lsh_and", lambda p: nn.AndOf([nn.BaseLSH(p, 43), nn.BaseLSH(p, 44)]), _with([43, 44]) + f" {_pairs_sql(43)} INTERSECT {_pairs_sql(44)}")
 _lookup("lsh_or", lambda p: nn.OrOf([nn.BaseLSH(p, 43), nn.BaseLSH(p, 44)]), _with([43, 44]) + f" {_pairs_sql(43)} UNION {_pairs_sql(44)}")
+_lookup("lsh_nested", lambda p: nn.OrOf([nn.AndOf([nn.BaseLSH(p, 43), nn.BroadcastLSH(p, 44)]), nn.BalancedLSH(p, 45, 8)]), _with([43, 44, 45]) + f" ({_pairs_sql(43)} INTERSECT {_pairs_sql(44)}) UNION {_pairs_sql(45)}")
 _lookup("lsh_construction1", nn.precise, _with(range(42, 46)) + " " + " INTERSECT ".join(map(_pairs_sql, range(42, 46))))
 _lookup("lsh_construction2", nn.thorough, _with(range(42, 47)) + " " + " UNION ".join(map(_pairs_sql, range(42, 47))))
-_lookup("nn_exact", lambda p: nn.ExactNN(p, 0.3), _with([]) + _EXACT + " SELECT * FROM truth")
+_lookup("nn_exact", lambda p: nn.ExactNN(p, 0.3), _with([]) + _EXACT + " SELECT * FROM truth", prepare=lambda p: p)
+
+
+@query(_with([43]) + f" SELECT query_id, string_agg(neighbor_id::VARCHAR, ' ' ORDER BY neighbor_id) AS neighbors, count(*)::INT AS n FROM ({_pairs_sql(43)}) GROUP BY query_id")
+def lsh_grouped(spark: SparkSession, root: str) -> DataFrame:
+    """The set form of a result; the sets are written as text, as the comparison of results has no arrays."""
+    p = nn.hashed(_sentences(spark, root))
+    sets = nn.grouped(nn.BaseLSH(p, 43).eval(p))
+    return sets.select("query_id", F.array_join(F.col("neighbors").cast("array<string>"), " ").alias("neighbors"), F.size("neighbors").alias("n"))
+
+
+_MISSES = _with([43]) + ", x AS (SELECT s43.id, sig FROM s43 JOIN documents ON doc_id = id WHERE lang = 'fr') SELECT p.id AS query_id, x.id AS neighbor_id FROM p LEFT JOIN s43 USING (id) {0} JOIN x ON x.sig = s43.sig"
+
+
+def _missing(on_miss: str, make):
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        """All documents looked up in an index of the French ones."""
+        french = catalog.table(spark, root, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("id"))
+        p = nn.hashed(_sentences(spark, root))
+        return make(p.join(french, "id", "left_semi"), on_miss).eval(p)
+
+    return run
+
+
+for _name, _make in {"base": lambda d, m: nn.BaseLSH(d, 43, m), "broadcast": lambda d, m: nn.BroadcastLSH(d, 43, m), "balanced": lambda d, m: nn.BalancedLSH(d, 43, 8, m)}.items():
+    QUERIES[f"lsh_{_name}_misses"], ORACLES[f"lsh_{_name}_misses"] = _missing("keep", _make), _MISSES.format("LEFT")
+QUERIES["lsh_base_drops"], ORACLES["lsh_base_drops"] = _missing("drop", lambda d, m: nn.BaseLSH(d, 43, m)), _MISSES.format("")
 
 
 def _quality(spark: SparkSession, root: str) -> DataFrame:
     p = _sentences(spark, root)
-    out = quality(nn.ExactNN(p, 0.3).eval(p), nn.BaseLSH(p, 43).eval(p))
+    h = nn.hashed(p)
+    out = quality(nn.ExactNN(p, 0.3).eval(p), nn.BaseLSH(h, 43).eval(h))
     return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
@@ -270,4 +318,59 @@ def nn_precision(spark: SparkSession, root: str) -> DataFrame:
 )
 def nn_mean_distance(spark: SparkSession, root: str) -> DataFrame:
     p = _sentences(spark, root)
-    return mean_distance(p, p, nn.BaseLSH(p, 43).eval(p)).select(F.round("mean_distance", 9).alias("mean_distance"))
+    h = nn.hashed(p)
+    return mean_distance(p, p, nn.BaseLSH(h, 43).eval(h)).select(F.round("mean_distance", 9).alias("mean_distance"))
+
+
+# --- sources and sinks: tables written out in each format and read back
+
+_TEXT_FIELDS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderdate", "date"), ("o_orderpriority", "string")]
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate::DATE AS o_orderdate, o_orderpriority, o_totalprice * 2 AS twice FROM orders")
+def source_delimited(spark: SparkSession, root: str) -> DataFrame:
+    """A delimited file with a declared schema, queried by its path as a name."""
+    path = work_path(spark, "delimited")
+    catalog.table(spark, root, "orders").select(*[F.col(n).cast(t).alias(n) for n, t in _TEXT_FIELDS]).write.option("sep", "|").csv(path)
+    catalog.delimited(spark, path, _TEXT_FIELDS, view=path)
+    return spark.sql(f"SELECT *, o_totalprice * 2 AS twice FROM `{catalog.view_name(path)}`")
+
+
+_KEYWORD_LINES = "p_partkey, p_brand, p_type, p_name"
+
+
+@query(f"SELECT id, i AS place, k[i + 1] AS keyword FROM (SELECT p_partkey::VARCHAR AS id, [{_KEYWORD_LINES.replace('p_partkey, ', '')}] AS k, unnest(range(0, 3))::INT AS i FROM part)")
+def source_keyword_text(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of id|keyword|keyword..., with empty fields at the end."""
+    path = work_path(spark, "keywords")
+    line = F.concat_ws("|", *[F.col(c).cast("string") for c in _KEYWORD_LINES.split(", ")], F.when(F.col("p_size") > 25, F.lit("|")))
+    catalog.table(spark, root, "part").select(line.alias("value")).write.text(path)
+    return catalog.keyword_text(spark, path).select("id", F.posexplode("keywords").alias("place", "keyword"))
+
+
+@query("SELECT 1 AS n_files, true AS without_repeats, true AS of_the_source, true AS about_a_third FROM (SELECT 1)")
+def sink_sample_text(spark: SparkSession, root: str) -> DataFrame:
+    """A sample of text lines in one file. Which lines it holds is left to chance, so what is compared are its properties: their
+    number is within six standard deviations of a third, they are lines of the source, and none comes twice."""
+    source, target = work_path(spark, "lines"), work_path(spark, "sample")
+    catalog.table(spark, root, "events").select(F.col("event_id").cast("string").alias("value")).write.text(source)
+    catalog.sample_text(spark, source, target, 1 / 3, seed=5)
+    lines, taken = spark.read.text(source), spark.read.text(target).select("value", F.input_file_name().alias("file"))
+    n = F.lit(lines.count())
+    found = taken.join(lines.withColumn("known", F.lit(1)), "value", "left")
+    return found.agg(
+        F.countDistinct("file").cast("int").alias("n_files"),
+        (F.countDistinct("value") == F.count("*")).alias("without_repeats"),
+        (F.count("known") == F.count("*")).alias("of_the_source"),
+        (F.abs(F.count("*") - n / 3) < 6 * F.sqrt(n * 2 / 9)).alias("about_a_third"),
+    )
+
+
+_POINTS = [("Star Wars", ["space", "force", "jedi", "empire", "lightsaber"]), ("The Lord of the Rings", ["fantasy", "hobbit", "orcs", "swords"]), ("Ghost in the Shell", ["cyberpunk", "anime", "hacker"])]
+
+
+@query("SELECT * FROM (VALUES ('Star Wars', 5, 99766, 67943, 10410), ('The Lord of the Rings', 4, 4722, 31621, 14613), ('Ghost in the Shell', 3, 53951, 27051, 28224)) v(id, n, sig_21, sig_22, sig_23)")
+def source_in_memory(spark: SparkSession, root: str) -> DataFrame:
+    """In-memory points and their known signatures."""
+    p = catalog.keyword_list(spark, _POINTS)
+    return nn.signatures(p, 21, 22, 23).join(p, "id").select("id", F.size("keywords").alias("n"), "sig_21", "sig_22", "sig_23")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,24 @@ from pyspark.sql import types as T
 TABLES = tuple("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 
 #: The declared schema of a delimited lineitem file: fixed values of the file format.
-LINEITEM_FIELDS = (
-    [(c, "int") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
-    + [(c, "decimal(15,2)") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
-    + [(c, "string") for c in ("l_returnflag", "l_linestatus")]
-    + [(c, "date") for c in ("l_shipdate", "l_commitdate", "l_receiptdate")]
-    + [(c, "string") for c in ("l_shipinstruct", "l_shipmode", "l_comment")]
-)
+LINEITEM_FIELDS = [
+    ("l_orderkey", "int"),
+    ("l_partkey", "int"),
+    ("l_suppkey", "int"),
+    ("l_linenumber", "int"),
+    ("l_quantity", "decimal(15,2)"),
+    ("l_extendedprice", "decimal(15,2)"),
+    ("l_discount", "decimal(15,2)"),
+    ("l_tax", "decimal(15,2)"),
+    ("l_returnflag", "string"),
+    ("l_linestatus", "string"),
+    ("l_shipdate", "date"),
+    ("l_commitdate", "date"),
+    ("l_receiptdate", "date"),
+    ("l_shipinstruct", "string"),
+    ("l_shipmode", "string"),
+    ("l_comment", "string"),
+]
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -31,11 +43,17 @@ def register(spark: SparkSession, root: str, names: Iterable[str] = TABLES) -> N
         table(spark, root, name).createOrReplaceTempView(name)
 
 
+def view_name(path: str) -> str:
+    """A path as the name of a view."""
+    return re.sub(r"[^0-9A-Za-z_]+", "_", path)
+
+
 def delimited(spark: SparkSession, path: str, fields: Sequence[tuple[str, str]], sep: str = "|", view: str | None = None) -> DataFrame:
-    """A delimited text table with a declared schema (nothing is inferred, no extra pass). ``view`` also names it for SQL; a quoted path works as a name."""
+    """A delimited text table with a declared schema (nothing is inferred, no extra pass). ``view`` also names it for SQL; a path works as a name in quotes, with what no name may hold written as '_'
+    (``view_name``)."""
     df = spark.read.schema(", ".join(f"`{n}` {t}" for n, t in fields)).option("sep", sep).option("mode", "PERMISSIVE").csv(path)
     if view:
-        df.createOrReplaceTempView(view)
+        df.createOrReplaceTempView(f"`{view_name(view)}`")
     return df
 
 

@@ -82,11 +82,77 @@ def test_lookups_agree_and_compose(spark):
     assert len(base) > 121
     assert rows(nn.BroadcastLSH(p, 43).eval(p)) == base
     assert rows(nn.BroadcastLSH(p, 43, limit=3).eval(p)) == base
-    assert rows(nn.BalancedLSH(p, 43, 8).eval(p)) == base
+    for n in (1, 2, 8, 60):
+        assert rows(nn.BalancedLSH(p, 43, n).eval(p)) == base
     other = rows(nn.BaseLSH(p, 44).eval(p))
     assert rows(nn.AndOf([nn.BaseLSH(p, 43), nn.BaseLSH(p, 44)]).eval(p)) == sorted({*base} & {*other}, key=repr)
     assert rows(nn.OrOf([nn.BaseLSH(p, 43), nn.BaseLSH(p, 44)]).eval(p)) == sorted({*base} | {*other}, key=repr)
-    assert rows(nn.grouped(nn.BaseLSH(p, 43).eval(p)))[0][1]
+    h = nn.hashed(p)
+    for point in (p, h):
+        for kind, want in ((nn.AndOf, {*base} & {*other}), (nn.OrOf, {*base} | {*other})):
+            assert rows(kind([nn.BaseLSH(point, 43), nn.BaseLSH(point, 44)]).eval(point)) == sorted(want, key=repr)
+    third = rows(nn.BaseLSH(h, 45).eval(h))
+    assert rows(nn.OrOf([nn.BaseLSH(h, s) for s in (43, 44, 45)]).eval(h)) == sorted({*base} | {*other} | {*third}, key=repr)
+    exact = rows(nn.ExactNN(p, 0.3).eval(p))
+    assert rows(nn.AndOf([nn.OrOf([nn.BaseLSH(h, 43), nn.BaseLSH(h, 44)]), nn.ExactNN(p, 0.3)]).eval(p)) == sorted(({*base} | {*other}) & {*exact}, key=repr)
+    want = {}
+    for q, n in base:
+        want.setdefault(q, set()).add(n)
+    assert {r.query_id: r.neighbors for r in nn.grouped(nn.BaseLSH(p, 43).eval(p)).collect()} == {q: sorted(n) for q, n in want.items()}
+
+
+def test_hot_signature_is_spread(spark):
+    """A third of all points are alike: their queries go to several partitions, and no partition has much over its share."""
+    data = [(f"h{i}", ["same"]) for i in range(400)] + [(f"p{i}", [f"w{i}"]) for i in range(800)]
+    h = nn.hashed(catalog.keyword_list(spark, data))
+    lookup = nn.BalancedLSH(h, 43, 12)
+    keyed = nn.signatures(h, 43).select(F.col("id").alias("query_id"), "sig")
+    out = lookup._lookup(keyed)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.lower().count("exchange ") == 2 and "passthrough" in plan and "Python" not in plan and "NestedLoop" not in plan
+    sizes = [r["count"] for r in out.select("query_id", "pid").distinct().groupBy("pid").count().collect()]
+    assert sum(sizes) == 1200 and max(sizes) <= 2 * 100 and len([s for s in sizes if s]) >= 12
+    assert rows(lookup.eval(h)) == rows(nn.BaseLSH(h, 43).eval(h))
+
+
+def test_points_are_hashed_once(spark):
+    p = catalog.keyword_list(spark, _sets())
+    python = lambda df: _plan(df).count("ArrowEvalPython")
+    h = nn.hashed(p)
+    for c in (nn.BaseLSH(h, 43), nn.BroadcastLSH(h, 43), nn.BalancedLSH(h, 43, 4), nn.precise(h), nn.thorough(h), nn.AndOf([nn.BaseLSH(h, 43), nn.BroadcastLSH(h, 44)])):
+        assert python(c.eval(h)) == 0
+    assert python(nn.signatures(p, 43).where("sig is not null").join(spark.range(3).toDF("j"), F.col("sig") == F.col("j"))) == 1
+    assert _plan(nn.precise(h).eval(h)).count("Join") == 1
+
+
+def test_quality_of_lookups(spark):
+    """Thresholds and orders that hold for every corpus of near copies: AND is more precise with fewer results, OR finds more."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != ""))
+    docs = catalog.table(spark, "/root/testdata/sf0.01", "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("id"), words.alias("keywords"))
+    p = docs.where(F.size("keywords") > 0)
+    h = nn.hashed(p)
+    truth = nn.ExactNN(p, 0.3).eval(p)
+    made = {"one": nn.BaseLSH(h, 42), "and": nn.AndOf([nn.BaseLSH(h, 42), nn.BaseLSH(h, 43)]), "or": nn.OrOf([nn.BaseLSH(h, 42), nn.BaseLSH(h, 43)]), "precise": nn.precise(h), "thorough": nn.thorough(h)}
+    got = {k: (c.eval(h).count(), metrics.quality(truth, c.eval(h)).first()) for k, c in made.items()}
+    q = {k: v[1] for k, v in got.items()}
+    assert all(v["recall"] >= 0.8 for v in q.values()) and q["thorough"]["recall"] > 0.95
+    assert q["and"]["precision"] > q["one"]["precision"] > q["or"]["precision"] and q["precise"]["precision"] > q["and"]["precision"]
+    assert got["and"][0] < got["one"][0] < got["or"][0] and q["or"]["recall"] >= q["one"]["recall"] >= q["and"]["recall"]
+
+
+def test_store(spark):
+    from tessera import store
+
+    df = spark.createDataFrame([(1, "x" * 100, ["a", "b"], [1, 2])], "a int, b string, c array<string>, d array<long>")
+    assert store.fits(df, 300) and not store.fits(df, 100) and not store.fits(spark.range(100), 100)
+    assert "hint broadcast" in store.small(df)._jdf.queryExecution().logical().toString().lower()
+    kept = store.cut(df, "one")
+    path = kept.inputFiles()[0].removeprefix("file://")
+    import os
+
+    assert kept.schema == df.schema and os.path.exists(path) and spark.sparkContext.applicationId in path
+    store.drop_cut(kept)
+    assert not os.path.exists(path)
 
 
 def test_misses_are_kept_on_request(spark):
@@ -165,7 +231,7 @@ def test_long_run_decodes_in_chunks(spark):
 def test_null_keys_and_order(spark):
     a, b = spark.createDataFrame([(1, "x"), (None, "y")], "k int, v string"), spark.createDataFrame([(1, 2), (None, 3)], "j int, w int")
     assert rows(rel.join(a, b, [("k", "j")])) == [(1, "x", 1, 2)]
-    assert rows(rel.join(a, b, [("k", "j")], broadcast_rows=10)) == [(1, "x", 1, 2)]
+    assert rows(rel.join(a, b, [("k", "j")], broadcast_bytes=1 << 20)) == [(1, "x", 1, 2)]
     assert [r.k for r in rel.sort(a, [("k", "desc")]).collect()] == [1, None]
     assert [r.k for r in rel.sort(a, [("k", "asc")], offset=1).collect()] == [None]
     assert rel.sort(a, [("k", "asc")], fetch=0).count() == 0
