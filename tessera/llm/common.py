@@ -2,53 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import shared_dir
+from tessera.store import cut, drop_cut, remove, small, work_path
+
+__all__ = ["PIECE_MODEL", "crc", "cut", "drop_cut", "hash_sample", "remove", "small", "table", "work_path"]
 
 #: Public tokenizer files; a parameter of every operator that uses one.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Rows up to which a two-column table of ids is broadcast after it has been counted (about 32 MB).
-BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back: the lineage ends there, and lost executors cost no rework."""
-    path = work_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Removes what ``cut`` wrote, when nothing reads it any more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def crc(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """With a broadcast hint if the table (of few narrow columns) has been counted to be small; as it is otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def hash_sample(df: DataFrame, key: str, fraction: Column | float, seed: int) -> DataFrame:
     """A reproducible sample by a hash of ``key``; which rows are in it does not depend on partitions."""
     u = F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / float(1 << 52)

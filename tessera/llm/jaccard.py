@@ -3,31 +3,34 @@
 Words are runs of other than ASCII white space, with A-Z in lower case. Two documents link when their shingle sets have
 a Jaccard similarity of 0.75 or more, that is, a symmetric difference of at most (a + b) / 7 for sizes a and b.
 
-The sketch. The hash space is cut into parts, as many as suit the size band (sizes from 2^k up to 2^(k+1)), and each
+The sketch. Sizes from 2^k up to 2^(k+1) are a band. For a band the hash space is cut into 2^(k+SPARE) parts, and each
 shingle XORs its 64-bit hash into the word of its part. A shingle of the symmetric difference changes one word, so the
 number of differing words (the Hamming distance of the sketches, by words) is at most the symmetric difference. By the
-pigeonhole principle, two linked sets agree in one of any D + 1 non-empty words, D being the largest (a + b) // 7 for
-their band; each document gives its D + 1 first words in one global order, and equal words make candidate pairs. A document
-whose partner may be in the next lower band gives the words of that band too. Below 4,096 shingles each shingle is its own part, so a
-set's words change by its own missing shingles alone, of which a linked set has at most a quarter.
+pigeonhole principle, two linked sets agree in one of any D + 1 non-empty words, D being the largest (a + b) // 7;
+each document gives its D + 1 first words in one global order, and equal words make candidate pairs. A document
+whose partner may be in the next lower band gives words of that band too.
 The order puts words that are common in a sample last, which only saves work: any order that is the same for all finds all.
 
-Steps. (1) Equal sets fall into classes, which their smallest doc_id stands for. (2) A first pass compares each representative
+Steps. (0) Texts are read once: each set is written as sorted 64-bit hashes, and only from these is all else made. (1) Equal sets fall into classes,
+which their smallest doc_id stands for. (2) A first pass compares each representative
 with one that shares most of its six least shingle hashes, which ties large groups of copies together.
 (3) The pigeonhole join proper, over all representatives, leaves out pairs that are known to be in one component, as such
 links cannot change a component; all others are verified. (4) Components of all links.
 
 Pairs are verified twice: a parity sketch of at least 1,024 bits, and twice as many as shingles, rejects those whose Hamming distance, which is at most the symmetric
-difference, is over (a + b) / 7; the rest by the exact intersection of shingle hashes.
+difference, is over (a + b) / 7; the rest by the exact intersection of 64-bit shingle hashes.
 
 A pair is made only at a word that may be its first common one: the words before it all differ, which bounds the sizes that the
-other set can have. Words travel in blocks: (32 bits of the word, doc_id, size, place), 20 bytes each, about 0.3 for each shingle, dealt
-to buckets of about a million; a bucket is sorted in one go. Nothing is collected but a bit table of fixed size; work tables are written to the
-shared folder, so lost executors cost no rework beyond a stage. What remains quadratic: documents of different
-components that share a word of a sketch and do not link are all compared with one another.
+other set can have. Words travel in blocks: (32 bits of the word, doc_id, size, place), 20 bytes each, about 0.45 for each shingle, dealt
+to buckets of about a million; a bucket is sorted in one go. A word that the sample shows in more than ``HEAVY`` documents is split: its documents fall into
+blocks by a hash, and each pair of blocks is a word of its own, in a bucket of its own. Of equal sets, too, classes of over ``HEAVY`` rows (and over a
+millionth of all, so that they are fewer than a million) are met by broadcast, and only smaller ones by a shuffle.
+To the driver come a bit table of fixed size and the split words. Work tables are written to the
+shared folder, so lost executors cost no rework beyond a stage, and removed when nothing reads them. What remains quadratic: documents of different
+components that share a word of a sketch at a place and size where they may link, and do not, are all compared with one another.
 
 Cases: a null or white text has no shingle, links with nothing and is its own component; fewer than five words are one
-shingle; rows with one doc_id are one document; a null doc_id links with nothing and has a null component. Extra
+shingle; rows with one doc_id are one document, with the larger of its sets if their texts differ; a null doc_id links with nothing and has a null component; no rows give none. Extra
 columns are ignored by ``link`` and kept by ``representatives``.
 """
 
@@ -47,12 +50,14 @@ from tessera.llm.components import components
 
 SHINGLE = 5
 LEAST = 6
-SMALL = 4_096
+#: A sketch of band k has 2 ** (k + SPARE) parts, 2 to 4 times 2 ** (SPARE - 2) for each shingle.
+SPARE = 3
 HOT_BITS = 24
 HOT_SHARE = 1 / 8
+#: Documents of one word, or rows of one class, that one task holds at most, as far as the sample can tell.
+HEAVY = 1_000
 ENTRIES = 1_000_000
 SKETCH_BITS = 1024
-PARITY = 1 << 31
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -103,54 +108,38 @@ def shingles(text: pa.StringScalar) -> np.ndarray:
 
 
 def _bands(n: int) -> Iterator[tuple[int, int]]:
-    """(band, most of the set's own words that differ from a linked set's) under which a set of n shingles is looked for.
-
-    Band 0 is of sets under SMALL, where a word is one shingle and only the set's own missing shingles change its words: n less
-    the least overlap, at most. In other bands a shingle of either set may, so it is the symmetric difference.
-    """
-    k = 0 if n < SMALL else n.bit_length() - 1
-    if k == 0:
-        yield 0, n - max(-(-3 * n // 4), -(-3 * (n + -(-3 * n // 4)) // 7))
-    else:
-        yield k, (n + min(4 * n // 3, (2 << k) - 1)) // 7
-    if k and 3 * n < 4 << k:  # a partner of 3/4 of the size is in the band below
-        if 1 << k > SMALL:
-            yield k - 1, (n + (1 << k) - 1) // 7
-        else:
-            yield 0, n - -(-3 * n // 4)
+    """(band, most words that differ from a linked set's) under which a set of n shingles is looked for: its own band, and the one below
+    if a linked set may be there, as both sets of a pair use the band of the smaller."""
+    k = n.bit_length() - 1
+    yield k, (n + 4 * n // 3) // 7
+    if -(-3 * n // 4) < 1 << k:
+        yield k - 1, (n + (1 << k) - 1) // 7
 
 
 def sketch_words(h: np.ndarray, band: int) -> np.ndarray:
     """The non-empty words of the parity sketch for a band, each made to tell its part and band."""
-    if band == 0:
-        return mix(h ^ np.uint64(0x5851F42D4C957F2D))
-    part = h >> np.uint64(64 - (band + 1))
-    starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
+    part = h >> np.uint64(64 - band - SPARE)
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     return mix(np.bitwise_xor.reduceat(mix(h), starts) + part[starts] * _FACTORS[0] + np.uint64(band))
 
 
 def prefix(h: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words that a document gives to the join, and the place of each in the order, with PARITY added where it is of a band over 0."""
+    """The words that a document gives to the join, and the place of each in the order."""
     words, places = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
     for band, most in _bands(len(h)) if len(h) else ():
         w = sketch_words(h, band)
         low = (w & np.uint64((1 << HOT_BITS) - 1)).astype(np.int64)
         common = (hot[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & np.uint8(1)
         words.append(w[np.lexsort((w, common))[: most + 1]])
-        places.append(np.arange(len(words[-1]), dtype=np.uint32) + np.uint32(PARITY if band else 0))
+        places.append(np.arange(len(words[-1]), dtype=np.uint32))
     return np.concatenate(words), np.concatenate(places)
 
 
 def partners(n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least and the largest size of a linked set whose first common word with a set of n is at this place of its order.
-
-    All words before the first common one differ. In band 0 they are shingles of the set that the other lacks, at most
-    n - 3 (n + m) / 7; in other bands each takes a shingle of the symmetric difference, at most (n + m) / 7.
-    """
-    n, parity = n.astype(np.int64), place >= PARITY
-    place = np.where(parity, place - np.uint32(PARITY), place).astype(np.int64)
-    low, high = -(-3 * n // 4), 4 * n // 3
-    return np.where(parity, np.maximum(low, 7 * place - n), low), np.where(parity, high, np.minimum(high, (4 * n - 7 * place) // 3))
+    """The least and the largest size of a linked set whose first common word with a set of n is at this place of its order:
+    all words before it differ, and each takes a shingle of the symmetric difference, of which there are (n + m) / 7 at most."""
+    n, place = n.astype(np.int64), place.astype(np.int64)
+    return np.maximum(-(-3 * n // 4), 7 * place - n), 4 * n // 3
 
 
 def bit_sketch(h: np.ndarray) -> np.ndarray:
@@ -169,76 +158,80 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def pack(h: np.ndarray) -> bytes:
-    """The low 40 bits of each hash: a chance agreement in a pair of sets of 600 has a probability of 3e-7."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
+    """Sorted hashes byte by byte, the high bytes of all first, as those compress."""
+    return np.ascontiguousarray(h.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
-def unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
 
+def unpack(data: bytes | pa.Buffer) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
 
-def _scalar(kind: str):
-    """Decorates a function of a batch of shingle sets as a UDF of the text."""
 
-    def make(f):
-        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for texts in batches:
-                yield f([shingles(t) for t in texts])
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    return [unpack(x.as_buffer()) if x.is_valid else np.empty(0, np.uint64) for x in column]
 
-        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        return F.arrow_udf(run, kind).asNondeterministic()
 
-    return make
+def _udf(f, kind: str, *inputs: str):
+    """A function of Arrow arrays as a UDF; as not deterministic, so that it is evaluated once a row."""
+    f.__annotations__ = dict.fromkeys((*inputs, "return"), pa.Array)
+    return F.arrow_udf(f, kind).asNondeterministic()
 
 
-def _describe(sets: list[np.ndarray]) -> pa.Array:
-    digest = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None for h in sets]
-    return pa.StructArray.from_arrays(
-        [pa.array([len(h) for h in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([h[:LEAST].view(np.int64) for h in sets], pa.list_(pa.int64()))],
-        ["n", "digest", "low"],
-    )
+def written_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, n, digest, low, hashes of every row; digest and hashes are null without shingles."""
 
+    def describe(texts):
+        sets = [shingles(t) for t in texts]
+        return pa.StructArray.from_arrays(
+            [
+                pa.array([len(h) for h in sets], pa.int64()),
+                pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None for h in sets], pa.binary()),
+                pa.array([h[:LEAST].view(np.int64) for h in sets], pa.list_(pa.int64())),
+                pa.array([pack(h) if len(h) else None for h in sets], pa.binary()),
+            ],
+            ["n", "digest", "low", "hashes"],
+        )
 
-def _full(sets: list[np.ndarray]) -> pa.Array:
-    return pa.StructArray.from_arrays(
-        [pa.array([len(h) for h in sets], pa.int64()), pa.array([bit_sketch(h) for h in sets], pa.list_(pa.int64())), pa.array([pack(h) for h in sets], pa.binary())],
-        ["n", "bits", "hashes"],
-    )
+    made = _udf(describe, "struct<n:long,digest:binary,low:array<long>,hashes:binary>", "texts")
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), made(F.col("text")).alias("s")).select("doc_id", "s.*"), "sets")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """Every row's (doc_id, n, rep, low): rep is the smallest doc_id with the same shingles, null without shingles."""
-    describe = _scalar("struct<n:long,digest:binary,low:array<long>>")(_describe)
-    base = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), describe(F.col("text")).alias("s")).select("doc_id", "s.*"), "sets")
-    some = base.where("doc_id is not null and digest is not null")
-    reps = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    out = cut(some.join(reps, "digest").select("doc_id", "n", "rep", "low").unionByName(base.where("doc_id is null or digest is null").select("doc_id", "n", F.lit(None).cast("long").alias("rep"), "low")), "classes")
-    drop_cut(base)
+def classes(base: DataFrame) -> DataFrame:
+    """Every row's (doc_id, n, rep): rep is the smallest doc_id with the same shingles, null without shingles or doc_id."""
+    some = base.where("doc_id is not null and digest is not null").select("doc_id", "n", "digest")
+    none = base.where("doc_id is null or digest is null").select("doc_id", "n", F.lit(None).cast("long").alias("rep"))
+    groups = cut(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1"), "groups")
+    most = max(HEAVY, (groups.agg(F.sum("k")).first()[0] or 0) // 1_000_000)
+    hot = F.broadcast(groups.where(F.col("k") > most).drop("k"))  # fewer than a million
+    rest = small(groups.where(F.col("k") <= most).drop("k"))
+    in_hot = some.join(hot, "digest").select("doc_id", "n", "rep")
+    others = some.join(hot, "digest", "left_anti").join(rest, "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    out = cut(in_hot.unionByName(others).unionByName(none), "classes")
+    drop_cut(groups)
     return out
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of distinct (a, b), those that link."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    full = _scalar("struct<n:long,bits:array<long>,hashes:binary>")(_full)
-    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(ids), "doc_id", "left_semi")
-    written = sets = cut(mine.select("doc_id", full(F.col("text")).alias("s")).select("doc_id", "s.*"), "shingles")
-    side = lambda x, *c: sets.select(F.col("doc_id").alias(x), *[F.col(i).alias(f"{i}_{x}") for i in c])
-    near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75)
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of distinct (a, b), those that link. ``sets``: doc_id, n, hashes, one row a document."""
+    ids = lambda p: p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct()
+    side = lambda t, x, *c: t.select(F.col("doc_id").alias(x), *[F.col(i).alias(f"{i}_{x}") for i in c])
+
+    def bits(column):
+        return pa.array([bit_sketch(h) for h in _sets(column)], pa.list_(pa.int64()))
+
+    mine = sets.join(small(ids(pairs)), "doc_id", "left_semi")
+    sketches = cut(mine.select("doc_id", "n", _udf(bits, "array<long>", "column")(F.col("hashes")).alias("bits")), "sketches")
+    near = pairs.join(side(sketches, "a", "n", "bits"), "a").join(side(sketches, "b", "n", "bits"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75)
     near = cut(near.where(distance(F.col("bits_a"), F.col("bits_b")) * 7 <= F.col("n_a") + F.col("n_b")).select("a", "b").distinct(), "near")
-    sets = sets.join(small(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()), "doc_id", "left_semi")
+    drop_cut(sketches)
 
-    def common(x: pa.Array, y: pa.Array) -> pa.Array:
-        get = lambda v: unpack(v.as_py())
-        return pa.array([len(np.intersect1d(get(p), get(q), assume_unique=True)) for p, q in zip(x, y, strict=True)], pa.int64())
+    def common(x, y):
+        return pa.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(_sets(x), _sets(y), strict=True)], pa.int64())
 
-    common.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
-    both = near.join(side("b", "n", "hashes"), "b").join(side("a", "n", "hashes"), "a")
-    both = both.withColumn("i", F.arrow_udf(common, "long").asNondeterministic()(F.col("hashes_a"), F.col("hashes_b")))
+    mine = sets.join(small(ids(near)), "doc_id", "left_semi")
+    both = near.join(side(mine, "b", "n", "hashes"), "b").join(side(mine, "a", "n", "hashes"), "a")
+    both = both.withColumn("i", _udf(common, "long", "x", "y")(F.col("hashes_a"), F.col("hashes_b")))
     out = cut(both.where(F.col("i") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("i")) * 75).select("a", "b").distinct(), "links")
-    drop_cut(written)
+    drop_cut(near)
     return out
 
 
@@ -246,10 +239,27 @@ _COLUMNS = ("w", "d", "n", "p", "o", "c")
 _KINDS = (np.uint32, np.int64, np.uint32, np.uint32, np.int64, np.int64)
 
 
-def _deal(words: list[np.ndarray], places: list[np.ndarray], sizes: list[int], ids: np.ndarray, component: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A batch's words as one row a bucket: words, documents, sizes, places, and the components of documents not alone in theirs."""
+def _deal(words: list[np.ndarray], places: list[np.ndarray], sizes: list[int], ids: np.ndarray, component: np.ndarray, buckets: int, heavy: np.ndarray) -> pa.RecordBatch:
+    """A batch's words as one row a bucket: words, documents, sizes, places, and the components of documents not alone in theirs.
+
+    ``heavy``: (low bits of a word, number of blocks) of the words that are split, in order of the former. A document of such a word is in one
+    block, and goes to every pair of blocks that has it.
+    """
     row = np.repeat(np.arange(len(ids)), [len(p) for p in words])
     words, place = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((words, np.uint64), (places, np.uint32)))
+    low = words.astype(np.uint32)
+    at = np.minimum(np.searchsorted(heavy[0], low), max(0, len(heavy[0]) - 1))
+    split = np.flatnonzero(heavy[0][at] == low) if len(heavy[0]) else np.empty(0, np.int64)
+    if len(split):
+        blocks = heavy[1][at[split]].astype(np.int64)
+        own = (mix(ids[row[split]].astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+        copy = np.repeat(np.arange(len(split)), blocks)
+        other = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        first, second = (f(own[copy], other).astype(np.uint64) for f in (np.minimum, np.maximum))
+        made = mix(words[split][copy] + first * _FACTORS[0] + second * _FACTORS[1] + np.uint64(1))
+        kept = np.ones(len(words), bool)
+        kept[split] = False
+        words, place, row = (np.concatenate([x[kept], y]) for x, y in ((words, made), (place, place[split][copy]), (row, row[split][copy])))
     size = np.array(sizes, np.uint32)
     to = ((words >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
@@ -265,6 +275,7 @@ def _deal(words: list[np.ndarray], places: list[np.ndarray], sizes: list[int], i
 
 
 _DEALT = "bucket int, " + ", ".join(f"{c} binary" for c in _COLUMNS)
+_WHOLE = np.empty((2, 0), np.uint32)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -290,53 +301,66 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
             yield w, d, n, p, comp
 
 
-def _hot(docs: DataFrame, reps: DataFrame, buckets: int) -> np.ndarray:
-    """A bit for each value of the low bits of a sketch word: whether, among the sampled documents, words with it are in
-    several components. The table has a fixed size, whatever the input's."""
+def _hot(sets: DataFrame, known: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """From a sample of the documents: a bit for each value of the low bits of a sketch word, whether words with it are in
+    several components, a table of fixed size; and the words to be split, with the number of their blocks, at most one for HEAVY * HOT_SHARE words of the sample."""
     buckets = max(1, int(buckets * HOT_SHARE * 2))
+    least = max(2, int(HEAVY * HOT_SHARE))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t) for t in b.column("text")]
+            sets = _sets(b.column("hashes"))
             own = [np.concatenate([sketch_words(h, band) for band, _ in _bands(len(h))]) if len(h) else h for h in sets]
-            yield _deal(own, [np.zeros(len(w), np.uint32) for w in own], [len(h) for h in sets], b.column("doc_id").to_numpy(), b.column("component").to_numpy(), buckets)
+            yield _deal(own, [np.zeros(len(w), np.uint32) for w in own], [len(h) for h in sets], b.column("doc_id").to_numpy(), b.column("component").to_numpy(), buckets, _WHOLE)
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, *_, comp in _buckets(batches):
             at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
             mixed = np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(w[at][mixed] & np.uint32((1 << HOT_BITS) - 1)).astype(np.int32))], names=["w"])
-
-    sample = hash_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", HOT_SHARE, 5).join(reps, "doc_id")
-    found = sample.select("doc_id", "component", "text").mapInArrow(words, _DEALT).repartition(buckets, "bucket").mapInArrow(common, "w int").distinct()
+            count = np.diff(np.append(at, len(w)))
+            many = mixed & (count > least)
+            found = np.unique(w[at][mixed] & np.uint32((1 << HOT_BITS) - 1)).astype(np.int64)
+            # a count of 0 tells of low bits, others of words to be split
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(found, w[at][many].astype(np.int64))), pa.array(np.append(np.zeros(len(found), np.int64), count[many]))], names=["w", "k"])
+
+    sample = hash_sample(sets.select("doc_id", "hashes"), "doc_id", HOT_SHARE, 5).join(known, "doc_id")
+    dealt = sample.select("doc_id", "component", "hashes").mapInArrow(words, _DEALT)
+    found = dealt.repartitionById(buckets, "bucket").mapInArrow(common, "w long, k long").groupBy("w").agg(F.max("k").alias("k"), F.min("k").alias("least")).toArrow()
+    w, k, least_k = (found.column(c).to_numpy() for c in ("w", "k", "least"))
     hot = np.zeros(1 << HOT_BITS, np.bool_)
-    hot[found.toArrow().column("w").to_numpy()] = True
-    return np.packbits(hot)
+    hot[w[least_k == 0]] = True
+    order = np.flatnonzero(k > 0)
+    order = order[np.argsort(w[order])]
+    split = np.stack([w[order], -(-k[order] // least)]).astype(np.uint32)
+    return np.packbits(hot), split
 
 
-def candidates(docs: DataFrame, reps: DataFrame, total: int) -> DataFrame:
+def candidates(sets: DataFrame, known: DataFrame, total: int) -> DataFrame:
     """Distinct pairs (a < b) of documents that share a sketch word and are in different components.
 
-    ``reps``: (doc_id, component), one row a document; ``total``: the number of all their shingles.
+    ``known``: (doc_id, component), one row a document; ``total``: the number of all their shingles.
     """
-    spark = docs.sparkSession
-    reps = small(reps)
+    spark = sets.sparkSession
+    known = small(known)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.45 * total / ENTRIES))
-    shared = spark.sparkContext.broadcast(_hot(docs, reps, buckets))
+    shared = spark.sparkContext.broadcast(_hot(sets, known, buckets))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, heavy = shared.value
         for b in batches:
-            sets = [shingles(t) for t in b.column("text")]
-            words, places = zip(*[prefix(h, shared.value) for h in sets], strict=True) if sets else ((), ())
-            yield _deal(list(words), list(places), [len(h) for h in sets], b.column("doc_id").to_numpy(), b.column("component").to_numpy(), buckets)
+            sets = _sets(b.column("hashes"))
+            words, places = zip(*[prefix(h, hot) for h in sets], strict=True) if sets else ((), ())
+            yield _deal(list(words), list(places), [len(h) for h in sets], b.column("doc_id").to_numpy(), b.column("component").to_numpy(), buckets, heavy)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for met in _buckets(batches):
             yield from _cross(*met)
 
-    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps, "doc_id")
-    met = mine.select("doc_id", "component", "text").mapInArrow(deal, _DEALT).repartition(buckets, "bucket").mapInArrow(meet, "a long, b long")
-    return cut(met.distinct(), "pairs")
+    mine = sets.select("doc_id", "hashes").join(known, "doc_id")
+    met = mine.select("doc_id", "component", "hashes").mapInArrow(deal, _DEALT).repartitionById(buckets, "bucket").mapInArrow(meet, "a long, b long")
+    out = cut(met.distinct(), "pairs")
+    shared.unpersist()
+    return out
 
 
 def _cross(w: np.ndarray, d: np.ndarray, n: np.ndarray, place: np.ndarray, comp: np.ndarray, block: int = 400_000) -> Iterator[pa.RecordBatch]:
@@ -373,20 +397,28 @@ def _cross(w: np.ndarray, d: np.ndarray, n: np.ndarray, place: np.ndarray, comp:
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
-    rows = classes(docs)
-    reps = rows.where("doc_id = rep")
-    low = reps.select("doc_id", "n", F.explode("low").alias("h"))
+    base = written_sets(docs)
+    rows = classes(base)
+    # one row for each class; of rows with one doc_id and several texts the larger set stands for it
+    reps = rows.where("doc_id = rep").groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("k"))
+    sets = base.where("digest is not null").join(small(reps.select("doc_id", "n")), ["doc_id", "n"], "left_semi")
+    if reps.where("k > 1").limit(1).count():
+        sets = sets.dropDuplicates(["doc_id"])
+    sets = sets.select("doc_id", "n", "low", "hashes")
+    low = sets.select("doc_id", F.explode("low").alias("h"))
     leads = low.groupBy("h").agg(F.min("doc_id").alias("a"), F.count("*").alias("k")).where("k > 1").select("h", "a")
     met = low.join(leads, "h").where("a <> doc_id").groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("k"))
-    first = cut(met.groupBy("b").agg(F.min(F.struct(-F.col("k"), "a")).alias("x")).select("x.a", "b"), "pairs")  # one lead a document: the rest is left to step 3
-    links = verify(first, docs)
+    first = cut(met.groupBy("b").agg(F.min(F.struct(-F.col("k"), "a")).alias("x")).select("x.a", "b"), "first")  # one lead a document: the rest is left to step 3
+    links = verify(first, sets)
     tied = components(links)
-    one = reps.groupBy("doc_id").agg(F.max("n").alias("n"))
-    known = cut(one.join(tied.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "n"), "known")
+    known = cut(reps.join(tied.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "n"), "known")
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    more = verify(candidates(docs, known.select("doc_id", "component"), total), docs)
+    pairs = candidates(sets, known.select("doc_id", "component"), total)
+    more = verify(pairs, sets)
     stars = tied.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = components(stars.union(more))
+    for done in (base, first, links, known, pairs, more):
+        drop_cut(done)
     out = rows.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 

@@ -93,5 +93,5 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     if len(literals) <= LITERALS:
         keys = F.filter(keys, lambda k: k.isin(literals))
     hits = rows.withColumn("keys", keys).select("doc_id", F.array_distinct("sh").alias("sh"), F.explode_outer(F.array_distinct("keys")).alias("key"))
-    found = hits.join(small(keyed, LITERALS), "key").select("doc_id", "template", "license", F.size(F.array_intersect("sh", "t_sh")).alias("n_found"), F.size("t_sh").alias("n"))
+    found = hits.join(small(keyed), "key").select("doc_id", "template", "license", F.size(F.array_intersect("sh", "t_sh")).alias("n_found"), F.size("t_sh").alias("n"))
     return found.where(F.col("n_found") >= F.col("n") * LEAST).distinct().select("doc_id", "template", "license", "n_found", (F.col("n_found") / F.col("n")).alias("containment"))

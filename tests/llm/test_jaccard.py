@@ -82,10 +82,12 @@ def test_prefixes_of_linked_sets_meet():
     g = np.random.default_rng(3)
     hot = np.packbits(g.random(1 << jaccard.HOT_BITS) < 0.3)
     for _ in range(2500):
-        n = int(g.choice([1, 2, 3, 4, 7, 20, 50, 62, 64, 66, 80, 120, 127, 129, 200, 260, 600, 1100, 3900, 4090, 4100, 4300, 5200, 8000, 8300]))
+        n = int(g.choice([1, 2, 3, 4, 5, 7, 8, 9, 16, 20, 31, 50, 62, 64, 66, 80, 120, 127, 129, 200, 260, 600, 1100, 3900, 4090, 4100, 4300, 5200, 8000, 8300, 10_900]))
         a = g.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + g.integers(0, 2, n).astype(np.uint64)
-        drop = int(g.integers(0, n // 4 + 1))
-        b = np.concatenate([a[drop:], g.integers(0, 1 << 63, int(g.integers(0, n // 3 + 1))).astype(np.uint64)])
+        most = g.random() < 0.5  # as different as linked sets can be, all from one side or the other
+        drop = n // 4 if most and g.random() < 0.5 else int(g.integers(0, n // 4 + 1))
+        more = n // 3 if most and drop == 0 else int(g.integers(0, n // 3 + 1))
+        b = np.concatenate([a[drop:], g.integers(0, 1 << 63, more).astype(np.uint64)])
         a, b = np.unique(a), np.unique(b)
         i = len(np.intersect1d(a, b))
         if 100 * i >= 75 * (len(a) + len(b) - i):
@@ -100,6 +102,78 @@ def test_prefixes_of_linked_sets_meet():
             assert parity <= len(a) + len(b) - 2 * i
 
 
+def test_large_sets_and_band_edges(spark):
+    """Copies about the threshold of sets of 3,000 to 20,000 shingles, and of sizes about powers of two."""
+    r = random.Random(7)
+    rows, word = [], lambda: f"w{r.randrange(100_000)}"
+    for n in (3_000, 4_090, 4_110, 5_400, 8_180, 8_200, 10_500, 16_300, 20_000, 250, 256, 262, 340, 510, 515, 1_020, 1_030, 1_360, 2_045, 2_060):
+        base = [word() for _ in range(n)]
+        rows.append(base)
+        for kind in range(4):
+            copy = list(base)
+            if kind in (0, 2):  # runs of new words, each of which also changes the four shingles before it
+                at = r.randrange(len(copy) // 2)
+                copy[at : at + int(n * r.uniform(0.10, 0.17))] = [word() for _ in range(int(n * r.uniform(0.10, 0.17)))]
+            if kind in (1, 2):
+                copy += [word() for _ in range(int(n * r.uniform(0.0, 0.36)))]
+            if kind == 3:
+                copy = copy[int(n * r.uniform(0.2, 0.28)) :]
+            rows.append(copy)
+    r.shuffle(rows)
+    rows = [(i, " ".join(x)) for i, x in enumerate(rows)]
+    want = brute(rows)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want
+    groups = len({c for _, c in want.values()})
+    assert 20 < groups < 100
+
+
+def test_without_broadcasts_and_with_split_words(spark, monkeypatch):
+    """Joins by shuffle only; a passage that most documents share, in words that are split; classes over the limit."""
+    from tessera import store
+
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(240):
+        own = [f"w{r.randrange(400)}" for _ in range(r.choice([0, 8, 14, 20, 30]))]
+        rows.append(passage[: r.choice([60, 58, 50])] + own)
+    rows += [["same", "words", "here", "and", "there", "again"]] * 40
+    rows = [(i, " ".join(x)) for i, x in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert got(df) == want
+    for name, value in (("HEAVY", 10), ("ENTRIES", 500)):
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(jaccard, "HOT_SHARE", 0.5)
+    sets = jaccard.written_sets(df)
+    known = sets.select("doc_id", F.col("doc_id").alias("component"))
+    _, split = jaccard._hot(sets, known, 4)
+    assert split.shape[1] > 10 and (split[1] > 1).all() and (split[0][1:] > split[0][:-1]).all()
+    assert got(df) == want
+    monkeypatch.setattr(store, "BROADCAST_BYTES", 0)
+    assert got(df) == want
+    assert sorted(x.doc_id for x in jaccard.representatives(df).collect()) == sorted(i for i, (_, c) in want.items() if i == c)
+
+
+def test_texts_are_read_once_and_never_shuffled(spark):
+    df = spark.createDataFrame([(i, f"a b c d e f g h {i % 7}") for i in range(50)], "doc_id long, text string")
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    sets = jaccard.written_sets(df)
+    assert "text" not in sets.columns and "text" not in plan(jaccard.link(df))
+    assert sets.inputFiles()  # written
+
+
+def test_hashes_pack_whole():
+    import numpy as np
+    import pyarrow as pa
+
+    for n in (1, 2, 1000):
+        h = np.sort(np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        assert (jaccard.unpack(jaccard.pack(h)) == h).all()
+        back = jaccard._sets(pa.array([None, jaccard.pack(h)], pa.binary()))
+        assert len(back[0]) == 0 and back[1].dtype == np.uint64 and (back[1] == h).all()
+
+
 def test_cases(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "Too short"), (5, "too  SHORT\n"), (6, "é É"), (7, "É É"), (8, "one two three four five"), (8, "one two three four five"), (9, "ONE two three four five"), (None, "one two three four five"), (10, " "), (11, "x" * 100_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("rep", F.lit(1)).withColumn("component", F.lit(2))
