@@ -7,7 +7,8 @@ at most ``FIT_ROWS`` vectors, picked by a hash; every vector is coded, by coordi
 
 A query makes a table of 16 inner products for each subspace, in 8 bits. A tile of up to ``TILE`` rows is scanned by adding table
 entries; its ``KEEP`` best rows are scored exactly, in double precision, from the original vectors, and the ``k`` best go on.
-Queries go to the scan in blocks of ``BLOCK``, broadcast one after another, whatever their number; what is shuffled are k rows
+Queries go to the scan in blocks of ``BLOCK``. A block is collected, broadcast, searched, its finds written, and its broadcast removed before the next, so that
+neither the driver's memory nor the plan grows with their number. What is shuffled are k rows
 for each query and task, the ids, and rows of an id that comes more than once (all rows if such ids are too many to broadcast), as a repeated row is coded once.
 Rows of the query's own id are out before the ``KEEP`` best are taken. Equal scores go to the smaller vec_id at every step.
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_ROWS, cut, hash_sample
+from tessera.llm.common import cut, drop_cut, hash_sample, small, work_path
 
 FIT_ROWS = 20_000
 ROUNDS = 4
@@ -37,6 +38,7 @@ TILE = 8_192
 KEEP = 96
 #: Inner products from this share of the norm on are those that the loss cares for.
 CARE = 0.2
+_FOUND = "query_id long, vec_id long, score double"
 
 
 class Quantiser:
@@ -140,13 +142,10 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 def once(rows: DataFrame) -> DataFrame:
     """The rows without repeated ones. Only rows of ids that come more than once are shuffled, if those ids can be broadcast."""
-    again = rows.groupBy("vec_id").count().where("count > 1").select("vec_id")
-    n = again.limit(BROADCAST_ROWS + 1).count()
-    if n == 0:
+    again = cut(rows.groupBy("vec_id").count().where("count > 1").select("vec_id"), "again")
+    if not again.limit(1).count():
         return rows
-    if n > BROADCAST_ROWS:
-        return rows.distinct()
-    again = F.broadcast(again)
+    again = small(again)
     return rows.join(again, "vec_id", "left_anti").unionByName(rows.join(again, "vec_id", "left_semi").distinct())
 
 
@@ -181,20 +180,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, keep: int = KEEP)
     """query_id, rank, vec_id, score: the k nearest of ``vectors`` for each of ``queries`` (vec_id, embedding)."""
     spark = vectors.sparkSession
     base, asked = valid(vectors), valid(queries)
-    parts = [spark.createDataFrame([], "query_id long, vec_id long, score double")]
+    path = work_path(spark, "found")
+    spark.createDataFrame([], _FOUND).write.parquet(path)
     for d in sorted(r[0] for r in asked.select(F.size("embedding")).distinct().collect()):
         own = once(base.where(F.size("embedding") == d))
         n = own.count()
         if n:
-            parts += _search_length(own, asked.where(F.size("embedding") == d).dropDuplicates(["vec_id"]), d, n, k, keep)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+            _search_length(own, asked.where(F.size("embedding") == d).dropDuplicates(["vec_id"]), d, n, k, keep, path)
+    found = spark.read.schema(_FOUND).parquet(path)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search_length(base: DataFrame, queries: DataFrame, d: int, n: int, k: int, keep: int) -> list[DataFrame]:
+def _search_length(base: DataFrame, queries: DataFrame, d: int, n: int, k: int, keep: int, path: str) -> None:
+    """Adds to the files in ``path`` what is found among vectors of d coordinates."""
     spark = base.sparkSession
     sample = hash_sample(base, "vec_id", min(1.0, FIT_ROWS / n), 13).orderBy("vec_id").toArrow()
     rows = _matrix(sample.column("embedding").combine_chunks(), d) if sample.num_rows else _matrix(base.limit(CENTRES).toArrow().column("embedding").combine_chunks(), d)
@@ -208,7 +207,7 @@ def _search_length(base: DataFrame, queries: DataFrame, d: int, n: int, k: int,
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array([r.tobytes() for r in codes], pa.binary())], names=["vec_id", "embedding", "code"])
 
     index = cut(base.mapInArrow(encode, "vec_id long, embedding array<double>, code binary"), "codes")
-    out = []
+    queries = cut(queries, "queries")  # so that each is in one place whatever is computed again
     for ids, vectors in _blocks(queries):
         shared = spark.sparkContext.broadcast((ids, vectors))
 
@@ -240,8 +239,11 @@ def _search_length(base: DataFrame, queries: DataFrame, d: int, n: int, k: int,
             some = np.isfinite(best)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, some.sum(1))), pa.array(best_id[some]), pa.array(best[some])], names=["query_id", "vec_id", "score"])
 
-        out.append(index.mapInArrow(find, "query_id long, vec_id long, score double"))
-    return out
+        index.mapInArrow(find, _FOUND).write.mode("append").parquet(path)
+        shared.unpersist()
+    for done in (index, queries):
+        drop_cut(done)
+    model.unpersist()
 
 
 def search_own(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
