@@ -8,7 +8,8 @@ from the words of at most about ``FIT_DOCS`` documents a language, picked by a h
 Scoring is one scan without a shuffle; the model (pieces x languages) is broadcast, and is bounded by the vocabulary.
 Cases: a null text and one without a letter are 'und' with score 0; null languages are not learned; with no language
 at all everything is 'und'; equally likely languages go to the first in order of name. Repeated rows count as often
-as they occur. Extra columns are kept. Long texts and long words are scored whole (scaled to avoid underflow).
+as they occur. Extra columns are kept. Long texts and long words are learned from and scored whole (scaled to avoid
+underflow; scoring holds a window of a word's sums, learning those of one word).
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import PIECE_MODEL, crc, cut, hash_sample
+from tessera.llm.common import PIECE_MODEL, crc, cut, drop_cut, hash_sample
 
 FIT_DOCS = 3_000
 ROUNDS = 3
@@ -30,8 +32,11 @@ ROUNDS = 3
 FLOOR = 0.05
 #: The probability of one letter that no piece has, in every language.
 UNKNOWN = 1e-9
+#: Letters and other numerals than digits; only a word that is not all letters is cut again, letter by letter.
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
+#: Steps of the automaton that are remembered, and cells of one block of a word's sums.
+_STEPS, _CELLS = 300_000, 1 << 16
 MARK = "▁"
 
 
@@ -41,11 +46,14 @@ def load_pieces(path: str = PIECE_MODEL) -> list[str]:
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [p.id_to_piece(i) for i in range(p.vocab_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i))]
-    return [x for x in pieces if x == MARK or _WORD.fullmatch(x.removeprefix(MARK)) and x == x.lower()]
+    return [x for x in pieces if x == MARK or x.removeprefix(MARK).isalpha() and x == x.lower()]
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    words = _WORD.findall(text.lower()) if text else []
+    if not all(map(str.isalpha, words)):
+        words = ["".join(g) for w in words for letters, g in groupby(w, str.isalpha) if letters]
+    return words
 
 
 class Lattice:
@@ -55,52 +63,74 @@ class Lattice:
         self.ids = {p: i for i, p in enumerate(pieces)}
         self.widest = max(map(len, pieces))
         self.none, self.unknown = len(pieces), len(pieces) + 1
-
-    def arcs(self, words: list[str], n: int) -> np.ndarray:
-        """[word, end, width - 1] piece ids of words that all have n characters with the mark."""
-        width = min(self.widest, n)
-        out = np.full((len(words), n + 1, width), self.none, np.int32)
-        get = self.ids.get
-        for row, word in zip(out, words, strict=True):
-            for j in range(1, n + 1):
-                cell = row[j]
-                for k in range(1, min(width, j) + 1):
-                    i = get(word[j - k : j])
-                    if i is not None:
-                        cell[k - 1] = i
-                if cell[0] == self.none:
-                    cell[0] = self.unknown
-        return out
-
-    @staticmethod
-    def forward(arcs: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums over segmentations of each prefix, [word, end, language], and the log scale of each word at each end."""
-        w, ends, width = arcs.shape
-        a, scale = np.zeros((w, ends, p.shape[1])), np.zeros((w, ends))
-        a[:, 0] = 1
-        for j in range(1, ends):
-            m = min(width, j)
-            x = np.einsum("wkl,wkl->wl", a[:, j - m : j][:, ::-1], p[arcs[:, j, :m]])
-            top = x.max(1)
-            small = top < 1e-60
-            if small.any():  # the window moves to a new scale, so that long words do not underflow
-                f = np.where(small, 1 / np.maximum(top, 1e-300), 1.0)
-                x *= f[:, None]
-                a[:, max(0, j - width) : j] *= f[:, None, None]
-                scale[:, j:] -= np.log(f)[:, None]
-            a[:, j] = x
-        return a, scale
+        self.starts = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+        self.forget()
+
+    def forget(self) -> None:
+        self.steps: dict[str, tuple[str, int]] = {}  # a state and the next character: the next state, and the row of the pieces that end there
+        self.rows = np.empty((1024, self.widest), np.int32)
+        self.n_rows = 0
+
+    def step(self, end: str) -> tuple[str, int]:
+        """The longest end that begins a piece, as in an Aho-Corasick automaton whose steps are found when first needed, and the row of the pieces that end here."""
+        if self.n_rows == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        row = self.rows[self.n_rows]
+        row[:] = [self.ids.get(end[-k:], self.none) if k <= len(end) else self.none for k in range(1, self.widest + 1)]
+        if row[0] == self.none:
+            row[0] = self.unknown
+        state = next((end[k:] for k in range(len(end)) if end[k:] in self.starts), "")
+        found = self.steps[end] = state, self.n_rows
+        self.n_rows += 1
+        return found
+
+    def arcs(self, words: list[str], n: int, states: list[str] | None = None) -> np.ndarray:
+        """[word, end - 1, width - 1] piece ids of words that all have n characters with the mark. ``states``: those of the words so far, which are moved on."""
+        if self.n_rows > _STEPS:
+            self.forget()
+        out, steps = np.empty((len(words), n), np.int32), self.steps
+        for k, word in enumerate(words):
+            state = states[k] if states else ""
+            row = []
+            for c in word:
+                end = state + c
+                state, r = steps.get(end) or self.step(end)
+                row.append(r)
+            out[k] = row
+            if states:
+                states[k] = state
+        return self.rows[out]
 
     def log_probability(self, words: list[str], p: np.ndarray) -> np.ndarray:
-        """[word, language]."""
+        """[word, language] sums over all segmentations, in blocks of ends: of a word of any length only a window of sums is held."""
         out = np.empty((len(words), p.shape[1]))
         for at, group, n in self.by_length(words):
-            a, scale = self.forward(self.arcs(group, n), p)
-            out[at] = np.log(np.maximum(a[:, n], 1e-300)) + scale[:, n, None]
+            wide, block = self.widest, max(self.widest, _CELLS // len(group))
+            scale = np.zeros(len(group))
+            a = np.zeros((len(group), wide + min(block, n), p.shape[1]))  # a[:, wide + j] are the sums of the prefixes that end at j of this block
+            a[:, wide - 1] = 1
+            states = [""] * len(group) if n > block else None
+            for first in range(0, n, block):
+                size = min(block, n - first)
+                arcs = self.arcs([w[first : first + size] for w in group] if states else group, size, states)
+                for j in range(size):
+                    m = min(wide, first + j + 1)
+                    window = a[:, wide + j - m : wide + j]
+                    x = np.einsum("wkl,wkl->wl", window[:, ::-1], p[arcs[:, j, :m]])
+                    top = x.max(1)
+                    tiny = top < 1e-60
+                    if tiny.any():  # the window moves to a new scale, so that long words do not underflow
+                        f = np.where(tiny, 1 / np.maximum(top, 1e-300), 1.0)
+                        x *= f[:, None]
+                        window *= f[:, None, None]
+                        scale -= np.log(f)
+                    a[:, wide + j] = x
+                a[:, :wide] = a[:, size : size + wide]
+            out[at] = np.log(np.maximum(a[:, wide - 1], 1e-300)) + scale[:, None]
         return out
 
     @staticmethod
-    def by_length(words: list[str], cells: int = 1 << 16) -> Iterator[tuple[np.ndarray, list[str], int]]:
+    def by_length(words: list[str], cells: int = _CELLS) -> Iterator[tuple[np.ndarray, list[str], int]]:
         """Positions and marked words of one length, in blocks of bounded size."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(lengths):
@@ -110,29 +140,45 @@ class Lattice:
                 yield at[k : k + step], [MARK + words[i] for i in at[k : k + step]], int(n) + 1
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected piece counts under one language's probabilities, by forward and backward sums."""
+        """Expected piece counts under one language's probabilities, by forward and backward sums; of long words in logarithms, as a long chain would underflow."""
         total = np.zeros(len(p))
         for at, group, n in self.by_length(words):
-            if n > 64:  # learned from, but in parts, as a long chain would underflow
-                parts = [x[k : k + 50] for x in group for k in range(0, len(x), 50)]
-                total += self.expected([x.removeprefix(MARK) for x in parts], np.repeat(counts[at], [-(-len(x) // 50) for x in group]), p)
-                continue
             arcs = self.arcs(group, n)
-            width = arcs.shape[2]
+            width = min(arcs.shape[2], n)
+            if n > 64:
+                total += self._expected_long(arcs, counts[at], p)
+                continue
             q = p[arcs]
             a, b = np.zeros((len(group), n + 1)), np.zeros((len(group), n + 1))
             a[:, 0] = b[:, n] = 1
             for j in range(1, n + 1):
                 m = min(width, j)
-                a[:, j] = np.einsum("wk,wk->w", a[:, j - m : j][:, ::-1], q[:, j, :m])
+                a[:, j] = np.einsum("wk,wk->w", a[:, j - m : j][:, ::-1], q[:, j - 1, :m])
             z = np.maximum(a[:, n], 1e-300)
             for j in range(n, 0, -1):
                 for k in range(1, min(width, j) + 1):
-                    b[:, j - k] += q[:, j, k - 1] * b[:, j]
+                    b[:, j - k] += q[:, j - 1, k - 1] * b[:, j]
             share = counts[at] / z
-            for j in range(1, n + 1):
-                for k in range(1, min(width, j) + 1):
-                    total += np.bincount(arcs[:, j, k - 1], a[:, j - k] * q[:, j, k - 1] * b[:, j] * share, len(p))
+            for k in range(1, width + 1):  # pieces of k characters, at all ends at once
+                total += np.bincount(arcs[:, k - 1 :, k - 1].ravel(), (a[:, : n + 1 - k] * q[:, k - 1 :, k - 1] * b[:, k:] * share[:, None]).ravel(), len(p))
+        return total
+
+    @staticmethod
+    def _expected_long(arcs: np.ndarray, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+        w, n, width = arcs.shape
+        log_p = np.log(p, where=p > 0, out=np.full(len(p), -np.inf))
+        a, b = np.full((w, n + 1), -np.inf), np.full((w, n + 1), -np.inf)
+        a[:, 0] = b[:, n] = 0
+        for j in range(1, n + 1):
+            m = min(width, j)
+            a[:, j] = np.logaddexp.reduce(a[:, j - m : j][:, ::-1] + log_p[arcs[:, j - 1, :m]], axis=1)
+        for k in range(n - 1, -1, -1):
+            m = np.arange(min(width, n - k))
+            b[:, k] = np.logaddexp.reduce(b[:, k + 1 : k + 1 + len(m)] + log_p[arcs[:, k + m, m]], axis=1)
+        total = np.zeros(len(p))
+        for k in range(1, min(width, n) + 1):
+            own = arcs[:, k - 1 :, k - 1]
+            total += np.bincount(own.ravel(), (counts[:, None] * np.exp(a[:, : n + 1 - k] + log_p[own] + b[:, k:] - a[:, n:])).ravel(), len(p))
         return total
 
 
@@ -160,7 +206,7 @@ def fit(docs: DataFrame, pieces: list[str], fit_docs: int = FIT_DOCS) -> tuple[l
             keys = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
 
-    words = cut(picked.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+    words = cut(picked.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     place = {x: i for i, x in enumerate(langs)}
     p = np.full((len(pieces), len(langs)), 1 / len(pieces))
     for _ in range(ROUNDS):
@@ -183,6 +229,7 @@ def fit(docs: DataFrame, pieces: list[str], fit_docs: int = FIT_DOCS) -> tuple[l
         p[got["i"].to_numpy(), got["l"].to_numpy()] += got["c"].to_numpy()
         p /= p.sum(0)
         shared.unpersist()
+    drop_cut(words)
     return langs, p
 
 
