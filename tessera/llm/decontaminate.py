@@ -11,8 +11,8 @@ found does not depend on how many others there are. Copies with about a third of
 that one 3-word sequence is left whole.
 
 Two scans of the documents, without a shuffle of texts: the first shuffles one count per sequence and task, the second
-aligns where it reads. The benchmark is broadcast in slices of at most ``SLICE_WORDS`` words, so a larger one costs more
-scans, not more memory. Alignments are made in blocks of bounded size.
+aligns where it reads. The benchmark is broadcast in slices of at most ``SLICE_WORDS`` words; what one slice finds is written, and its broadcast removed, before
+the next, so a larger benchmark costs more scans, not more memory. Alignments are made in blocks of bounded size.
 
 Cases: null and empty texts leak nothing; an item with fewer than three words matches nothing; repeated documents and
 repeated items each count for themselves; a document that holds an item several times gives its best place, the first on ties.
@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import cut, drop_cut
+
 SEED = 3
 RARE = 32
 MATCH, OTHER = 2, -1
@@ -201,9 +203,9 @@ def _spans(text: str, first: int, end: int) -> tuple[int, int]:
     return start, stop
 
 
-def slices(benchmark: DataFrame, most: int = SLICE_WORDS) -> Iterator[list[tuple[int, list[str]]]]:
+def slices(benchmark: DataFrame, most: int | None = None) -> Iterator[list[tuple[int, list[str]]]]:
     """Items in slices of bounded size, as they come."""
-    rows, size = [], 0
+    rows, size, most = [], 0, most or SLICE_WORDS
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").toLocalIterator():
         words = words_of(r.text)
         if rows and size + len(words) > most:
@@ -236,21 +238,25 @@ def _counted(docs: DataFrame, items: Items) -> Items:
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks") -> DataFrame:
-    """The documents with an array of (item_id, score, start, end), best items first."""
+    """The documents with an array of (item_id, score, start, end) in the order of the benchmark's slices."""
     kind = "array<struct<item_id:long,score:double,start:int,end:int>>"
-    parts = []
-    for n, rows in enumerate(slices(benchmark)):
+    before, shared = None, None
+    for rows in slices(benchmark):
+        if shared is not None:
+            written = cut(docs, "leaks")
+            shared.unpersist()
+            if before is not None:
+                drop_cut(before)
+            docs = before = written
         shared = docs.sparkSession.sparkContext.broadcast(_counted(docs, Items(rows)))
 
         def run(batches: Iterator[pa.Array], shared=shared) -> Iterator[pa.Array]:
             for texts in batches:
                 yield pa.array(find(shared.value, texts.to_pylist()), pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])))
 
-        parts.append((f"{column}__{n}", F.arrow_udf(_iterating(run), kind).asNondeterministic()(F.col("text"))))
-    for name, made in parts:
-        docs = docs.withColumn(name, made)
-    both = F.concat(*[F.col(n) for n, _ in parts])
-    return docs.withColumn(column, both).drop(*[n for n, _ in parts if n != column])
+        made = F.arrow_udf(_iterating(run), kind).asNondeterministic()(F.col("text"))
+        docs = docs.withColumn(column, F.concat(column, made) if before is not None else made)
+    return docs
 
 
 def _iterating(run):
