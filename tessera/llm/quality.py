@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc, hash_sample
+from tessera.llm.common import crc, hash_sample, small
 
 BITS = 18
 FIT_DOCS = 8_000
@@ -113,8 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, target: st
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()]), pa.array([w[at].tobytes()])], names=["i", "w"])
 
-    # the sample is bounded by its parameter, so it is broadcast to the scan of the texts and met again in one task
-    picked = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")
+    # the sample is bounded by its parameter (in expectation, so it is measured too): broadcast to the scan of the texts, and met again in one task
+    picked = docs.select("doc_id", "text").join(small(own), "doc_id")
     made = picked.select(F.xxhash64("doc_id", F.lit(11)).alias("k"), "y", "text").mapInArrow(extract, "k long, y int, i binary, v binary")
     got = made.repartition(1).sortWithinPartitions("k", "y", "i").mapInArrow(learn, "i binary, w binary").collect()
     w = np.zeros((1 << BITS) + 1, np.float32)

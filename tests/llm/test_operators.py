@@ -68,6 +68,42 @@ def test_expected_counts_are_those_of_all_segmentations():
     assert np.allclose(lattice.expected(["abab", "ba"], np.array([3, 2]), p), want)
 
 
+def test_long_words_are_learned_whole():
+    """Of a word of 90 letters each segmentation counts, also over the middle; and sums in blocks are those in one."""
+    lattice = language.Lattice(["▁", "a", "b", "ab", "ba", "aab", "▁a"])
+    p = language._with_rest(np.random.default_rng(5).random((7, 2)) + 0.1)
+    words, counts = ["ab" * 30 + "b" * 30, "a" * 70], np.array([2, 1])
+    got = lattice.expected(words, counts, p[:, 1])
+    want = np.zeros(len(p))
+    for word, n in zip(words, counts, strict=True):  # by the plain recurrence in exact arithmetic
+        from fractions import Fraction
+
+        x, q = "▁" + word, [Fraction(float(v)) for v in p[:, 1]]
+        arcs = [(i, j, lattice.ids[x[i:j]]) for j in range(1, len(x) + 1) for i in range(max(0, j - 3), j) if x[i:j] in lattice.ids]
+        a, b = [Fraction(0)] * (len(x) + 1), [Fraction(0)] * (len(x) + 1)
+        a[0] = b[-1] = Fraction(1)
+        for i, j, k in arcs:
+            a[j] += a[i] * q[k]
+        for i, j, k in sorted(arcs, key=lambda t: -t[0]):
+            b[i] += b[j] * q[k]
+        for i, j, k in arcs:
+            want[k] += n * float(a[i] * q[k] * b[j] / a[-1])
+    assert np.allclose(got, want)
+    whole = lattice.log_probability(["ab" * 900], p)
+    kept, language._CELLS = language._CELLS, 7
+    try:
+        assert np.allclose(lattice.log_probability(["ab" * 900, "ba" * 900], p)[0], whole)
+    finally:
+        language._CELLS = kept
+
+
+def test_only_letters_make_words(spark):
+    assert language.words_of("½ ² ① Ⅷ ¼ a½b é_Ü 一二三 x9y") == ["a", "b", "é", "ü", "一二三", "x", "y"]
+    df = spark.createDataFrame([(1, "½ ² ①", None), (2, "¼ Ⅷ", None), (4, "a b", "xx"), (5, "a", "xx"), (6, "b", "xx")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(df).collect()}
+    assert got[1] == got[2] == "und" and got[4] == "xx"
+
+
 def test_language_held_out(spark):
     out = language.identify(table(spark, "/root/testdata/sf0.01", "documents")).join(table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang"), "doc_id").toPandas()
     held = out[out.held_out]
@@ -180,6 +216,22 @@ def test_nearest_cases(spark):
     assert neighbours.search_own(df.limit(0)).count() == 0
 
 
+def test_blocks_of_queries(spark, monkeypatch):
+    """Whatever the block, the finds are the same; copies of a row however many."""
+    x = np.random.default_rng(6).normal(size=(300, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, neighbours.search(frame(rows), frame(rows)).collect()))
+    assert len(want) == 1500
+    plan = neighbours.search(frame(rows), frame(rows))._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    assert sorted(map(tuple, neighbours.search(frame(rows), frame(rows)).collect())) == want
+    assert neighbours.search(frame(rows), frame(rows))._jdf.queryExecution().executedPlan().toString().count("Scan") == plan.count("Scan")
+    for copies in (2, 12, 500):
+        again = [*rows, *[(7, x[7].tolist())] * copies]
+        assert [t[:3] for t in sorted(map(tuple, neighbours.search(frame(again), frame(rows)).collect()))] == [t[:3] for t in want]
+
+
 def test_scan_of_many_coordinates():
     """Sums of 1,100 subspaces, at 255 each, are over 2**31 as ranks."""
     tables = np.zeros((1, 1_100, 16), np.uint8)
@@ -424,6 +476,51 @@ def test_quality_held_out(spark):
     assert [zlib.crc32(str(i).encode()) % 5 == 0 for i in out.doc_id] == list(out.held_out)
 
 
+def test_quality_against_a_plain_learner():
+    """Features and updates by their definition, one at a time."""
+    from collections import Counter
+
+    def plain_features(text):
+        tokens = quality._TOKEN.findall(text)
+        crc = [zlib.crc32(t.encode()) for t in tokens]
+        form = [quality.shape(t) for t in tokens]
+        mask = (1 << 32) - 1
+        found = Counter((c * 0xC2B2AE35 & mask) >> (32 - quality.BITS) for c in crc)
+        for i in range(len(tokens) - 1):
+            found[(((crc[i] * 0x9E3779B1 + crc[i + 1]) & mask) * 0x85EBCA6B & mask) >> (32 - quality.BITS)] += 1
+            next_form = quality._AGAIN if crc[i] == crc[i + 1] else form[i + 1]
+            found[((form[i] * 256 + next_form + 1) * 0x27D4EB2F & mask) >> (32 - quality.BITS)] += 1
+        total = sum(found.values())
+        return {k: math.sqrt(n / total) for k, n in found.items()}
+
+    r = random.Random(12)
+    words = ["alpha", "Beta", "GAMMA", "7", "x_y", "!", "...", "né", "été", "日本", "the", "the the"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 30))) for _ in range(60)]
+    model, known = quality.Ftrl(), quality.TokenHashes()
+    z, n = Counter(), Counter()
+    bias = 1 << quality.BITS
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for k, text in enumerate(texts * 2):
+        own = plain_features(text)
+        index, values = quality.features(text, known)
+        assert dict(zip(index.tolist(), values.tolist(), strict=True)) == pytest.approx(own, rel=1e-6)
+        x = {**{int(i): float(v) for i, v in zip(index, values, strict=True)}, bias: 1.0}
+        label = k % 3 == 0
+        g = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items()))) - label
+        for i, v in x.items():
+            w, step = weight(i), g * v
+            z[i] += step - (math.sqrt(n[i] + step * step) - math.sqrt(n[i])) / quality.ALPHA * w
+            n[i] += step * step
+        model.learn(index, values, int(label))
+    w = model.weights()
+    assert {i: w[i] for i in np.flatnonzero(w)} == pytest.approx({i: weight(i) for i in z if weight(i)}, rel=1e-4, abs=1e-7)
+
+
 def test_quality_cases(spark, odd):
     labels = spark.createDataFrame([(4, 1), (4, 0), (99, 1), (None, 1), (8, None), (11, 1)], "doc_id long, quality int")
     rows = {r.doc_id: r for r in quality.classify(odd, labels).collect()}
@@ -515,6 +612,20 @@ def test_copies_of_an_edited_item_however_many(spark, copies):
     assert decontaminate.clean(docs, bench).count() == 50
 
 
+def test_slices_of_the_benchmark(spark, monkeypatch):
+    """One slice after another gives what one gives, and no plan holds more than one of them."""
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(6)]
+    docs = spark.createDataFrame([(i, f"lead {items[i % 6][1]} tail {items[(i + 1) % 6][1] if i % 2 else ''}", "kept") for i in range(20)] + [(99, None, "kept")], "doc_id long, text string, more string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
+    assert len(want) == 30
+    monkeypatch.setattr(decontaminate, "SLICE_WORDS", 24)
+    found = decontaminate.with_leaks(docs, bench)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, decontaminate.leaks(docs, bench).collect())) == want
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [99]
+
+
 def test_windows_left_out_hold_no_leak():
     r = random.Random(8)
     items = decontaminate.Items([(i, [f"w{r.randrange(12)}" for _ in range(r.randint(5, 20))]) for i in range(20)])
