@@ -558,6 +558,60 @@ def test_loser_tree():
         assert list(warc.LoserTree(runs)) == sorted(x for run in runs for x in run)
 
 
+def test_pages_merge_in_order_and_a_page_a_run():
+    """Pages of sorted runs in the order of their first keys; those held at a time are about one for each run."""
+    r = random.Random(4)
+    for runs, size in ((1, 40), (5, 300), (30, 200), (3, 0)):
+        whole = [sorted(r.randrange(1000) for _ in range(size)) for _ in range(runs)]
+        held, most = [0], [0]
+
+        def rows(page, held=held, most=most):
+            held[0] += 1
+            most[0] = max(most[0], held[0])
+
+            def give():
+                yield from page
+                held[0] -= 1
+
+            return give()
+
+        pages = sorted(((run[i], run[i : i + 10]) for run in whole for i in range(0, len(run), 10)), key=lambda p: p[0])
+        got = list(warc.merge_pages((key, lambda page=page: rows(page)) for key, page in pages))
+        assert got == sorted(x for run in whole for x in run) and most[0] <= 3 * runs + 2
+
+
+def test_archives_are_bounded_and_can_be_sought(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "CLASSES", (1_000, 5_000))
+    rows = [(i, f"http://h{i % 7}.com/{i % 3}", "é" * (i * 37 % 900) if i % 50 else "long" * 10_000 + str(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(df, str(tmp_path / "w"))
+    files = list((tmp_path / "w").glob("part-*"))
+    assert all(f.stat().st_size <= 20_000 or len(list(warc.parse(f.read_bytes()))) == 1 for f in files) and len(files) > 20
+    entries = warc.runs(spark, str(tmp_path / "w")).collect()
+    assert sorted(r.page_id for r in entries) == list(range(300))
+    for r in entries[:40]:
+        with open(r.archive.removeprefix("file:"), "rb") as f:
+            f.seek(r.offset)
+            assert f.readline() == b"WARC/1.1\r\n" and f"<urn:page:{r.page_id}>".encode() in f.read(200)
+    by_run = {}
+    for r in sorted(entries, key=lambda r: (r.run, r.seq)):
+        by_run.setdefault(r.run, []).append((r.url_key, r.captured, r.page_id))
+    assert all(run == sorted(run) for run in by_run.values())
+    monkeypatch.setattr(warc, "PAGE", 7)
+    out = warc.history(df).orderBy("part", "place").collect()
+    assert [(r.url_key, r.captured, r.page_id) for r in out] == sorted(x for run in by_run.values() for x in run)
+    timed = df.withColumn("at", F.expr("timestamp'2021-05-06 07:08:09'"))
+    assert {r.captured for r in warc.history(timed, captured="at").collect()} == {"2021-05-06T07:08:09Z"}
+
+
+def test_merge_sorts_pages_only(spark, monkeypatch):
+    monkeypatch.setattr(warc, "cut", lambda df, name: df if name == "history" else __import__("tessera.store").store.cut(df, name))
+    monkeypatch.setattr(warc, "drop_cut", lambda df: None)
+    plan = warc.history(spark.createDataFrame([(1, "http://a/", "x")], "page_id long, url string, html string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort ") == 1 and "Sort [k#" in plan
+
+
 # --- 9
 
 
