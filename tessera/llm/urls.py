@@ -9,18 +9,19 @@ consonants, and suffix statistics: the smoothed share of unwanted URLs by top-le
 letters of the name before it, counted from the labelled URLs: of all suffixes, as literals up to ``LITERALS`` of them and as a joined table beyond. All are cut to small integers.
 
 Training: logistic loss, ``TREES`` trees of depth ``DEPTH`` by Newton steps. A level is one aggregation of gradients
-by (leaf, feature, bin), of which a table of fixed size comes back; the labelled URLs are ``LABELLED`` rows made by
-rule, unless others are given. Scoring is one scan without a shuffle. Empty pages give no rows; repeated rows are judged alike.
+by (leaf, feature, bin), of which a table of fixed size comes back. The labelled URLs are given, or else those pages that a rule decides, at most about ``FIT_URLS`` of them,
+picked by a hash of the URL: the trees carry on to other URLs what those have in common that the rules block. Without labelled URLs all others are allowed.
+Scoring is one scan without a shuffle. Empty pages give no rows; repeated rows are judged alike, and train as often as they occur; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, drop_cut, small
+from tessera.llm.common import cut, drop_cut, hash_sample, small
 
 #: (kind, host, path): fixed values of the task.
 RULES = (
@@ -31,15 +32,10 @@ RULES = (
     ("block", "org", "/es/"),
 )
 TREES, DEPTH, RATE, DAMP = 10, 3, 0.5, 1.0
-LABELLED = 4_000
+FIT_URLS = 20_000
 #: Suffixes up to which their rates are literals of the expressions.
 LITERALS = 500
 BINS = 32
-#: Words that unwanted and wanted host names are made of, for labelled URLs by rule.
-UNWANTED = "free cheap casino bets bet poker pills pharma adult xxx spam farm ads ad track tracker click win winner loans loan replica promo seo clicks offers hot deal slots bonus crack keygen warez viagra dating x".split()
-WANTED = "library garden history museum river school science weather letters bakery village recipes astronomy theatre council orchard archive music harbour atlas physics journal forest kitchen chronicle painting city maps health news".split()
-#: Syllables of coined names, which are wanted ones too: endings that the counts do not know are then no mark against a URL.
-SYLLABLES = "th ther tion ing sh er re an on ti be ver ka lo mi nu pa ro sel tar ven wol zin dor fel gar hin jor lum".split()
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -97,24 +93,11 @@ def features(url: Column, host: Column, path: Column, rates: tuple[Column, Colum
     return {k: F.coalesce(F.least(F.greatest(F.floor(v), F.lit(0)), F.lit(BINS - 1)).cast("int"), F.lit(0)) for k, v in made.items()}
 
 
-def labelled_by_rule(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
-    """(url, unwanted): host names of unwanted or wanted words, with the same ways of writing domain, path and parameters for both."""
-
-    def pick(words, salt: int) -> Column:
-        return F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
-
-    bad = F.col("id") % 2
-    one_in = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)) == 0
-    digits = F.when(one_in(6, 10), F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1000)).cast("string")).otherwise(F.lit(""))
-    unwanted = F.concat(pick(UNWANTED, 1), F.when(one_in(6, 12), F.lit("")).otherwise(F.lit("-")), pick(UNWANTED, 2), digits)
-    wanted = F.concat(pick(WANTED, 1), F.when(one_in(8, 9), F.lit("-")).otherwise(F.lit("")), F.when(one_in(3, 13), pick(WANTED, 2)).otherwise(F.lit("")))
-    wanted = F.regexp_replace(wanted, "-$", "")
-    coined = F.concat(pick(SYLLABLES, 14), pick(SYLLABLES, 15), F.when(one_in(2, 16), pick(SYLLABLES, 17)).otherwise(F.lit("")))
-    wanted = F.when(one_in(2, 18), coined).otherwise(wanted)
-    name = F.when(bad == 1, unwanted).otherwise(wanted)
-    tail = F.concat(pick(["", "/en/", "/de/", "/fr/", "/es/", "/2021/05/", "/a/b/"], 5), F.pmod(F.xxhash64("id", F.lit(6)), F.lit(10_000)).cast("string"), pick(["", "", ".html", "/", "#top", "?page=2&ref=x", "?utm_source=feed"], 7))
-    url = F.concat(pick(["http://", "https://"], 3), pick(["", "", "www.", "m.", "blog."], 4), name, pick([".example.com", ".example.net", ".example.org", ".com", ".net", ".org"], 8), F.regexp_replace(tail, "^(?=[0-9])", "/"))
-    return spark.range(0, rows, 1, 4).select(url.alias("url"), bad.cast("int").alias("unwanted"))
+def labelled_by_rules(pages: DataFrame, rows: int | None = None) -> DataFrame:
+    """(url, unwanted) of the pages that a rule decides: a sample of about ``rows``, in which copies of a URL are all or none."""
+    _, kind = rule_of(*host_path(F.col("url")))
+    told = pages.select("url", (kind == "block").cast("int").alias("unwanted")).where("unwanted is not null")
+    return hash_sample(told, "url", min(1.0, (rows or FIT_URLS) / max(1, told.count())), 19)
 
 
 def suffix_rates(labelled: DataFrame) -> list[dict[str, float] | DataFrame]:
@@ -223,7 +206,7 @@ def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Trees:
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict for every page."""
-    model = fit(labelled_by_rule(pages.sparkSession) if labelled is None else labelled.select("url", F.col("unwanted").cast("int").alias("unwanted")).where("unwanted is not null"))
+    model = fit(labelled_by_rules(pages) if labelled is None else labelled.select("url", F.col("unwanted").cast("int").alias("unwanted")).where("unwanted is not null"))
     host, path = host_path(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rows, rates = _rates(rows, F.col("host"), model.rates)
