@@ -20,8 +20,9 @@ links cannot change a component; all others are verified. (4) Components of all
 Pairs are verified twice: a parity sketch of at least 1,024 bits, and twice as many as shingles, rejects those whose Hamming distance, which is at most the symmetric
 difference, is over (a + b) / 7; the rest by the exact intersection of 64-bit shingle hashes.
 
-A pair is made only at a word that may be its first common one: the words before it all differ, which bounds the sizes that the
-other set can have. Words travel in blocks: (32 bits of the word, doc_id, size, place), 20 bytes each, about 0.45 for each shingle, dealt
+A pair is made only at a word that may be its first common one. The words before it all differ, and those of an odd number of shingles count on both
+sides: where an odd word differs from an odd one the parts differ in two shingles at least, from an even one or none in one at least. So the odd words before it, of both documents
+together, are at most the symmetric difference, which bounds the sizes of a pair. Words travel in blocks: (32 bits of the word, doc_id, size, odd words before it), 20 bytes each, about 0.45 for each shingle, dealt
 to buckets of about a million; a bucket is sorted in one go. A word that the sample shows in more than ``HEAVY`` documents is split: its documents fall into
 blocks by a hash, and each pair of blocks is a word of its own, in a bucket of its own. Of equal sets, too, classes of over ``HEAVY`` rows (and over a
 millionth of all, so that they are fewer than a million) are met by broadcast, and only smaller ones by a shuffle.
@@ -116,28 +117,30 @@ def _bands(n: int) -> Iterator[tuple[int, int]]:
         yield k - 1, (n + (1 << k) - 1) // 7
 
 
-def sketch_words(h: np.ndarray, band: int) -> np.ndarray:
-    """The non-empty words of the parity sketch for a band, each made to tell its part and band."""
+def sketch_words(h: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """The non-empty words of the parity sketch for a band, each made to tell its part and band, and whether each is of an odd number of shingles."""
     part = h >> np.uint64(64 - band - SPARE)
     starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    return mix(np.bitwise_xor.reduceat(mix(h), starts) + part[starts] * _FACTORS[0] + np.uint64(band))
+    odd = np.diff(np.append(starts, len(h))) & 1
+    return mix(np.bitwise_xor.reduceat(mix(h), starts) + part[starts] * _FACTORS[0] + np.uint64(band)), odd
 
 
 def prefix(h: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words that a document gives to the join, and the place of each in the order."""
+    """The words that a document gives to the join, and the number of odd ones before each in the order."""
     words, places = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
     for band, most in _bands(len(h)) if len(h) else ():
-        w = sketch_words(h, band)
+        w, odd = sketch_words(h, band)
         low = (w & np.uint64((1 << HOT_BITS) - 1)).astype(np.int64)
         common = (hot[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & np.uint8(1)
-        words.append(w[np.lexsort((w, common))[: most + 1]])
-        places.append(np.arange(len(words[-1]), dtype=np.uint32))
+        first = np.lexsort((w, common))[: most + 1]
+        words.append(w[first])
+        places.append((np.cumsum(odd[first]) - odd[first]).astype(np.uint32))
     return np.concatenate(words), np.concatenate(places)
 
 
 def partners(n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least and the largest size of a linked set whose first common word with a set of n is at this place of its order:
-    all words before it differ, and each takes a shingle of the symmetric difference, of which there are (n + m) / 7 at most."""
+    """The least and the largest size of a linked set whose first common word with a set of n has ``place`` odd words before it:
+    they all differ, and each takes a shingle of the symmetric difference, of which there are (n + m) / 7 at most."""
     n, place = n.astype(np.int64), place.astype(np.int64)
     return np.maximum(-(-3 * n // 4), 7 * place - n), 4 * n // 3
 
@@ -310,7 +313,7 @@ def _hot(sets: DataFrame, known: DataFrame, buckets: int) -> tuple[np.ndarray, n
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = _sets(b.column("hashes"))
-            own = [np.concatenate([sketch_words(h, band) for band, _ in _bands(len(h))]) if len(h) else h for h in sets]
+            own = [np.concatenate([sketch_words(h, band)[0] for band, _ in _bands(len(h))]) if len(h) else h for h in sets]
             yield _deal(own, [np.zeros(len(w), np.uint32) for w in own], [len(h) for h in sets], b.column("doc_id").to_numpy(), b.column("component").to_numpy(), buckets, _WHOLE)
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,13 +378,14 @@ def _cross(w: np.ndarray, d: np.ndarray, n: np.ndarray, place: np.ndarray, comp:
     fitting = np.searchsorted(sizes, key + high, "right") - np.searchsorted(sizes, key + low) - ((low <= n) & (n <= high))
     kept = np.flatnonzero(mixed & (fitting > 0))
     w, d, n, comp, low, high = w[kept], d[kept], n[kept].astype(np.int64), comp[kept], low[kept], high[kept]
+    spare = n - 7 * place[kept].astype(np.int64)  # of both sides together: seven times the shingles by which they may still differ
     total, gap, left = len(w), 1, np.arange(len(w))
     held, size = [], 0
     while len(left) or held:
         left = left[left + gap < total]
         left = left[w[left + gap] == w[left]]
         right = left + gap
-        hit = left[(comp[left] != comp[right]) & (low[left] <= n[right]) & (n[right] <= high[left]) & (low[right] <= n[left]) & (n[left] <= high[right])]
+        hit = left[(comp[left] != comp[right]) & (spare[left] + spare[right] >= 0) & (low[left] <= n[right]) & (n[right] <= high[left]) & (low[right] <= n[left]) & (n[left] <= high[right])]
         a, b = d[hit], d[hit + gap]
         held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
         size += len(hit)
