@@ -15,7 +15,9 @@ Steps. (0) Texts are read once: each set is written as sorted 64-bit hashes, and
 which their smallest doc_id stands for. (2) A first pass compares each representative
 with one that shares most of its six least shingle hashes, which ties large groups of copies together.
 (3) The pigeonhole join proper, over all representatives, leaves out pairs that are known to be in one component, as such
-links cannot change a component; all others are verified. (4) Components of all links.
+links cannot change a component. A document that step 2 linked is met as its partner there, its pivot, at a known symmetric difference (0 for others): the
+symmetric difference is a metric, so two documents can only link if their pivots are no further apart than both radii and (a + b) / 7. Each pair of pivots is measured
+once, however many documents stand behind them; (4) only where that leaves a link possible, and the pivots' own links have not tied the components, are the pairs of documents themselves verified. (5) Components of all links.
 
 Pairs are verified twice: a parity sketch of at least 1,024 bits, and twice as many as shingles, rejects those whose Hamming distance, which is at most the symmetric
 difference, is over (a + b) / 7; the rest by the exact intersection of 64-bit shingle hashes.
@@ -28,7 +30,7 @@ blocks by a hash, and each pair of blocks is a word of its own, in a bucket of i
 millionth of all, so that they are fewer than a million) are met by broadcast, and only smaller ones by a shuffle.
 To the driver come a bit table of fixed size and the split words. Work tables are written to the
 shared folder, so lost executors cost no rework beyond a stage, and removed when nothing reads them. What remains quadratic: documents of different
-components that share a word of a sketch at a place and size where they may link, and do not, are all compared with one another.
+components that share a word of a sketch at a place and size where they may link, and do not, are all compared with one another, pivot by pivot.
 
 Cases: a null or white text has no shingle, links with nothing and is its own component; fewer than five words are one
 shingle; rows with one doc_id are one document, with the larger of its sets if their texts differ; a null doc_id links with nothing and has a null component; no rows give none. Extra
@@ -43,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +62,8 @@ HOT_SHARE = 1 / 8
 HEAVY = 1_000
 ENTRIES = 1_000_000
 SKETCH_BITS = 1024
+#: Bytes of hashes whose words are dealt in one go; a larger set is dealt alone.
+DEALT_BYTES = 8 << 20
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -213,18 +218,20 @@ def classes(base: DataFrame) -> DataFrame:
     return out
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of distinct (a, b), those that link. ``sets``: doc_id, n, hashes, one row a document."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of distinct (a, b) those that link, with n_a, n_b and their symmetric difference ``gap``; with a column ``reach``, those of at most a seventh of it.
+    ``sets``: doc_id, n, hashes, one row a document."""
     ids = lambda p: p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct()
     side = lambda t, x, *c: t.select(F.col("doc_id").alias(x), *[F.col(i).alias(f"{i}_{x}") for i in c])
+    reach = F.col("reach") if "reach" in pairs.columns else F.col("n_a") + F.col("n_b")
 
     def bits(column):
         return pa.array([bit_sketch(h) for h in _sets(column)], pa.list_(pa.int64()))
 
     mine = sets.join(small(ids(pairs)), "doc_id", "left_semi")
     sketches = cut(mine.select("doc_id", "n", _udf(bits, "array<long>", "column")(F.col("hashes")).alias("bits")), "sketches")
-    near = pairs.join(side(sketches, "a", "n", "bits"), "a").join(side(sketches, "b", "n", "bits"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75)
-    near = cut(near.where(distance(F.col("bits_a"), F.col("bits_b")) * 7 <= F.col("n_a") + F.col("n_b")).select("a", "b").distinct(), "near")
+    near = pairs.join(side(sketches, "a", "n", "bits"), "a").join(side(sketches, "b", "n", "bits"), "b").where(F.abs(F.col("n_a") - F.col("n_b")) * 7 <= reach)
+    near = cut(near.where(distance(F.col("bits_a"), F.col("bits_b")) * 7 <= reach).select(*pairs.columns).distinct(), "near")
     drop_cut(sketches)
 
     def common(x, y):
@@ -232,22 +239,36 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     mine = sets.join(small(ids(near)), "doc_id", "left_semi")
     both = near.join(side(mine, "b", "n", "hashes"), "b").join(side(mine, "a", "n", "hashes"), "a")
-    both = both.withColumn("i", _udf(common, "long", "x", "y")(F.col("hashes_a"), F.col("hashes_b")))
-    out = cut(both.where(F.col("i") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("i")) * 75).select("a", "b").distinct(), "links")
+    both = both.withColumn("gap", F.col("n_a") + F.col("n_b") - 2 * _udf(common, "long", "x", "y")(F.col("hashes_a"), F.col("hashes_b")))
+    out = cut(both.where(F.col("gap") * 7 <= reach).select("a", "b", "n_a", "n_b", "gap").distinct(), "links")
     drop_cut(near)
     return out
 
 
-_COLUMNS = ("w", "d", "n", "p", "o", "c")
-_KINDS = (np.uint32, np.int64, np.uint32, np.uint32, np.int64, np.int64)
+#: Of words: low bits, documents, sizes, odd words before; of documents that are tied to others: ids, components, pivots, radii.
+_COLUMNS = ("w", "d", "n", "p", "o", "c", "v", "r")
+_KINDS = (np.uint32, np.int64, np.uint32, np.uint32, np.int64, np.int64, np.int64, np.int64)
+#: What is known of a document.
+_KNOWN = ("component", "pivot", "radius")
 
 
-def _deal(words: list[np.ndarray], places: list[np.ndarray], sizes: list[int], ids: np.ndarray, component: np.ndarray, buckets: int, heavy: np.ndarray) -> pa.RecordBatch:
-    """A batch's words as one row a bucket: words, documents, sizes, places, and the components of documents not alone in theirs.
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``DEALT_BYTES`` of hashes, so that what is made of one is bounded however long the texts are."""
+    for b in batches:
+        part = np.cumsum(pc.binary_length(b.column("hashes")).to_numpy(zero_copy_only=False).astype(np.int64)) // DEALT_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            if y > x:
+                yield b.slice(x, y - x)
+
+
+def _deal(words: list[np.ndarray], places: list[np.ndarray], sizes: list[int], batch: pa.RecordBatch, buckets: int, heavy: np.ndarray) -> pa.RecordBatch:
+    """A batch's words as one row a bucket: words, documents, sizes, places, and what is known of documents not alone in their components.
 
     ``heavy``: (low bits of a word, number of blocks) of the words that are split, in order of the former. A document of such a word is in one
     block, and goes to every pair of blocks that has it.
     """
+    ids, *known = (batch.column(c).to_numpy() for c in ("doc_id", *_KNOWN))
     row = np.repeat(np.arange(len(ids)), [len(p) for p in words])
     words, place = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((words, np.uint64), (places, np.uint32)))
     low = words.astype(np.uint32)
@@ -271,10 +292,10 @@ def _deal(words: list[np.ndarray], places: list[np.ndarray], sizes: list[int], i
     for k in np.flatnonzero(np.diff(edges)):
         at = order[edges[k] : edges[k + 1]]
         own = np.unique(row[at])
-        own = own[component[own] != ids[own]]
-        made.append((int(k), *[x.tobytes() for x in (words[at].astype(np.uint32), ids[row[at]], size[row[at]], place[at], ids[own], component[own])]))
-    columns = list(zip(*made, strict=True)) or [[]] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 6, strict=True)], names=["bucket", *_COLUMNS])
+        own = own[(known[0][own] != ids[own]) | (known[1][own] != ids[own])]
+        made.append((int(k), *[x.tobytes() for x in (words[at].astype(np.uint32), ids[row[at]], size[row[at]], place[at], ids[own], *[x[own] for x in known])]))
+    columns = list(zip(*made, strict=True)) or [[]] * (len(_COLUMNS) + 1)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * len(_COLUMNS), strict=True)], names=["bucket", *_COLUMNS])
 
 
 _DEALT = "bucket int, " + ", ".join(f"{c} binary" for c in _COLUMNS)
@@ -282,7 +303,7 @@ _WHOLE = np.empty((2, 0), np.uint32)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Bucket by bucket the words that several documents have, sorted, with documents, sizes, places and components."""
+    """Bucket by bucket the words that several documents have, sorted, with documents, sizes, places, components, pivots and radii."""
     held: dict[int, list[list[bytes]]] = {}
     for b in batches:
         for k, *blobs in zip(*[b.column(c).to_pylist() for c in ("bucket", *_COLUMNS)], strict=True):
@@ -290,18 +311,19 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
                 have.append(new)
     while held:
         _, parts = held.popitem()
-        w, d, n, p, o, c = (np.frombuffer(b"".join(x), t) for x, t in zip(parts, _KINDS, strict=True))
+        w, d, n, p, o, *known = (np.frombuffer(b"".join(x), t) for x, t in zip(parts, _KINDS, strict=True))
         order = np.argsort(w, kind="stable")
         same = w[order][1:] == w[order][:-1]
         twin = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(w) else order
         w, d, n, p = w[twin], d[twin], n[twin], p[twin]
         o, first = np.unique(o, return_index=True)
-        comp = d
+        known = [x[first] for x in known]
+        of = [d, d, np.zeros(len(d), np.int64)]
         if len(o) and len(d):
             at = np.minimum(np.searchsorted(o, d), len(o) - 1)
-            comp = np.where(o[at] == d, c[first][at], d)
+            of = [np.where(o[at] == d, x[at], y) for x, y in zip(known, of, strict=True)]
         if len(w):
-            yield w, d, n, p, comp
+            yield w, d, n, p, *of
 
 
 def _hot(sets: DataFrame, known: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -311,13 +333,13 @@ def _hot(sets: DataFrame, known: DataFrame, buckets: int) -> tuple[np.ndarray, n
     least = max(2, int(HEAVY * HOT_SHARE))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             sets = _sets(b.column("hashes"))
             own = [np.concatenate([sketch_words(h, band)[0] for band, _ in _bands(len(h))]) if len(h) else h for h in sets]
-            yield _deal(own, [np.zeros(len(w), np.uint32) for w in own], [len(h) for h in sets], b.column("doc_id").to_numpy(), b.column("component").to_numpy(), buckets, _WHOLE)
+            yield _deal(own, [np.zeros(len(w), np.uint32) for w in own], [len(h) for h in sets], b, buckets, _WHOLE)
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for w, *_, comp in _buckets(batches):
+        for w, _, _, _, comp, *_ in _buckets(batches):
             at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
             mixed = np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at)
             count = np.diff(np.append(at, len(w)))
@@ -327,7 +349,7 @@ def _hot(sets: DataFrame, known: DataFrame, buckets: int) -> tuple[np.ndarray, n
             yield pa.RecordBatch.from_arrays([pa.array(np.append(found, w[at][many].astype(np.int64))), pa.array(np.append(np.zeros(len(found), np.int64), count[many]))], names=["w", "k"])
 
     sample = hash_sample(sets.select("doc_id", "hashes"), "doc_id", HOT_SHARE, 5).join(known, "doc_id")
-    dealt = sample.select("doc_id", "component", "hashes").mapInArrow(words, _DEALT)
+    dealt = sample.select("doc_id", *_KNOWN, "hashes").mapInArrow(words, _DEALT)
     found = dealt.repartitionById(buckets, "bucket").mapInArrow(common, "w long, k long").groupBy("w").agg(F.max("k").alias("k"), F.min("k").alias("least")).toArrow()
     w, k, least_k = (found.column(c).to_numpy() for c in ("w", "k", "least"))
     hot = np.zeros(1 << HOT_BITS, np.bool_)
@@ -339,9 +361,10 @@ def _hot(sets: DataFrame, known: DataFrame, buckets: int) -> tuple[np.ndarray, n
 
 
 def candidates(sets: DataFrame, known: DataFrame, total: int) -> DataFrame:
-    """Distinct pairs (a < b) of documents that share a sketch word and are in different components.
+    """(a, b, reach), a < b: distinct pairs of pivots of documents that share a sketch word and are in different components, and the most of
+    seven times the radii and the sizes of two such documents: they can only link if seven times the pivots' symmetric difference is at most that.
 
-    ``known``: (doc_id, component), one row a document; ``total``: the number of all their shingles.
+    ``known``: (doc_id, component, pivot, radius), one row a document; ``total``: the number of all their shingles.
     """
     spark = sets.sparkSession
     known = small(known)
@@ -350,24 +373,24 @@ def candidates(sets: DataFrame, known: DataFrame, total: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, heavy = shared.value
-        for b in batches:
+        for b in _parts(batches):
             sets = _sets(b.column("hashes"))
             words, places = zip(*[prefix(h, hot) for h in sets], strict=True) if sets else ((), ())
-            yield _deal(list(words), list(places), [len(h) for h in sets], b.column("doc_id").to_numpy(), b.column("component").to_numpy(), buckets, heavy)
+            yield _deal(list(words), list(places), [len(h) for h in sets], b, buckets, heavy)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for met in _buckets(batches):
             yield from _cross(*met)
 
     mine = sets.select("doc_id", "hashes").join(known, "doc_id")
-    met = mine.select("doc_id", "component", "hashes").mapInArrow(deal, _DEALT).repartitionById(buckets, "bucket").mapInArrow(meet, "a long, b long")
-    out = cut(met.distinct(), "pairs")
+    met = mine.select("doc_id", *_KNOWN, "hashes").mapInArrow(deal, _DEALT).repartitionById(buckets, "bucket").mapInArrow(meet, "a long, b long, reach long")
+    out = cut(met.groupBy("a", "b").agg(F.max("reach").alias("reach")), "pairs")
     shared.unpersist()
     return out
 
 
-def _cross(w: np.ndarray, d: np.ndarray, n: np.ndarray, place: np.ndarray, comp: np.ndarray, block: int = 400_000) -> Iterator[pa.RecordBatch]:
-    """Distinct pairs of different components in each run of equal words, if this may be their first common word."""
+def _cross(w, d, n, place, comp, pivot, radius, block: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """The pivots of pairs of different components in each run of equal words, if this may be their first common word, and their reach."""
     start = np.concatenate([[True], w[1:] != w[:-1]])
     at, run = np.flatnonzero(start), np.cumsum(start) - 1
     mixed = (np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at))[run]  # runs of one component have no pairs
@@ -377,8 +400,9 @@ def _cross(w: np.ndarray, d: np.ndarray, n: np.ndarray, place: np.ndarray, comp:
     sizes = np.sort(key + n)
     fitting = np.searchsorted(sizes, key + high, "right") - np.searchsorted(sizes, key + low) - ((low <= n) & (n <= high))
     kept = np.flatnonzero(mixed & (fitting > 0))
-    w, d, n, comp, low, high = w[kept], d[kept], n[kept].astype(np.int64), comp[kept], low[kept], high[kept]
+    w, n, comp, low, high, pivot = w[kept], n[kept].astype(np.int64), comp[kept], low[kept], high[kept], pivot[kept]
     spare = n - 7 * place[kept].astype(np.int64)  # of both sides together: seven times the shingles by which they may still differ
+    reach = n + 7 * radius[kept]
     total, gap, left = len(w), 1, np.arange(len(w))
     held, size = [], 0
     while len(left) or held:
@@ -386,19 +410,29 @@ def _cross(w: np.ndarray, d: np.ndarray, n: np.ndarray, place: np.ndarray, comp:
         left = left[w[left + gap] == w[left]]
         right = left + gap
         hit = left[(comp[left] != comp[right]) & (spare[left] + spare[right] >= 0) & (low[left] <= n[right]) & (n[right] <= high[left]) & (low[right] <= n[left]) & (n[left] <= high[right])]
-        a, b = d[hit], d[hit + gap]
-        held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        a, b = pivot[hit], pivot[hit + gap]
+        held.append(np.stack([np.minimum(a, b), np.maximum(a, b), reach[hit] + reach[hit + gap]], 1))
         size += len(hit)
         gap += 1
         if size > block or not len(left):
             pairs = np.concatenate(held)
-            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-            pairs = pairs[order]
-            pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])] if len(pairs) else pairs
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+            pairs = pairs[np.lexsort((-pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
+            pairs = pairs[np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(1)])] if len(pairs) else pairs
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pairs.T], names=["a", "b", "reach"])
             held, size = [], 0
 
 
+def open_pairs(apart: DataFrame, known: DataFrame, tied: DataFrame) -> DataFrame:
+    """Distinct pairs of documents of different components that may link as far as the ``gap`` of their pivots tells, but pivots themselves, whose links are known."""
+    now = known.drop("component").join(tied.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    side = lambda p, x: now.select(F.col("pivot").alias(p), F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("component", "radius", "n")])
+    reach = F.col("n_x") + F.col("n_y")
+    both = apart.select("a", "b", "gap").join(side("a", "x"), "a").join(side("b", "y"), "b")
+    may = (F.col("component_x") != F.col("component_y")) & (F.abs(F.col("n_x") - F.col("n_y")) * 7 <= reach) & (F.col("gap") * 7 <= (F.col("radius_x") + F.col("radius_y")) * 7 + reach)
+    both = both.where(may & ((F.col("x") != F.col("a")) | (F.col("y") != F.col("b"))))
+    return cut(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "behind")
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     base = written_sets(docs)
@@ -413,15 +447,19 @@ def link(docs: DataFrame) -> DataFrame:
     leads = low.groupBy("h").agg(F.min("doc_id").alias("a"), F.count("*").alias("k")).where("k > 1").select("h", "a")
     met = low.join(leads, "h").where("a <> doc_id").groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("k"))
     first = cut(met.groupBy("b").agg(F.min(F.struct(-F.col("k"), "a")).alias("x")).select("x.a", "b"), "first")  # one lead a document: the rest is left to step 3
-    links = verify(first, sets)
+    links = measured(first, sets)
     tied = components(links)
-    known = cut(reps.join(tied.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "n"), "known")
+    own = reps.join(tied.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(links.select(F.col("b").alias("doc_id"), F.col("a").alias("pivot"), F.col("gap").alias("radius")), "doc_id", "left")
+    known = cut(own.select("doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("pivot", "doc_id").alias("pivot"), F.coalesce("radius", F.lit(0)).cast("long").alias("radius"), "n"), "known")
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    pairs = candidates(sets, known.select("doc_id", "component"), total)
-    more = verify(pairs, sets)
-    stars = tied.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    final = components(stars.union(more))
-    for done in (base, first, links, known, pairs, more):
+    pairs = candidates(sets, known.drop("n"), total)
+    apart = measured(pairs, sets)
+    stars = lambda t: t.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    tied = components(stars(tied).union(apart.where(F.col("gap") * 7 <= F.col("n_a") + F.col("n_b")).select("a", "b")))
+    behind = open_pairs(apart, known, tied)
+    more = measured(behind, sets)
+    final = components(stars(tied).union(more.select("a", "b")))
+    for done in (base, first, links, known, pairs, apart, behind, more):
         drop_cut(done)
     out = rows.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))

@@ -147,7 +147,7 @@ def test_without_broadcasts_and_with_split_words(spark, monkeypatch):
         monkeypatch.setattr(jaccard, name, value)
     monkeypatch.setattr(jaccard, "HOT_SHARE", 0.5)
     sets = jaccard.written_sets(df)
-    known = sets.select("doc_id", F.col("doc_id").alias("component"))
+    known = sets.select("doc_id", F.col("doc_id").alias("component"), F.col("doc_id").alias("pivot"), F.lit(0).cast("long").alias("radius"))
     _, split = jaccard._hot(sets, known, 4)
     assert split.shape[1] > 10 and (split[1] > 1).all() and (split[0][1:] > split[0][:-1]).all()
     assert got(df) == want
@@ -156,6 +156,35 @@ def test_without_broadcasts_and_with_split_words(spark, monkeypatch):
     assert sorted(x.doc_id for x in jaccard.representatives(df).collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_pivots_lose_no_link(spark, monkeypatch):
+    """Groups of copies at growing distances from their text, and others about the threshold from some of a group only: links that only documents behind pivots have, and few pairs for many that have none."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(100_000)}"
+    rows = []
+    for _ in range(6):
+        base = [word() for _ in range(150)]
+        for edits in [0] * 4 + [1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 6, 7, 8]:
+            copy = list(base)
+            for _ in range(edits):
+                copy[r.randrange(150)] = word()
+            rows.append(copy + [word() for _ in range(r.randrange(3))])
+        for cut in range(20, 70, 2):  # partly the text, partly others of the kind
+            rows.append(base[: 150 - cut] + [word() for _ in range(cut)])
+    r.shuffle(rows)
+    rows = [(i, " ".join(x)) for i, x in enumerate(rows)]
+    opened, asked = jaccard.open_pairs, []
+
+    def counted(*x):
+        out = opened(*x)
+        asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "open_pairs", counted)
+    want = brute(rows)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want
+    assert asked[0] > 0 and len({c for _, c in want.values()}) > 20
+
+
 def test_texts_are_read_once_and_never_shuffled(spark):
     df = spark.createDataFrame([(i, f"a b c d e f g h {i % 7}") for i in range(50)], "doc_id long, text string")
     plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
