@@ -427,7 +427,9 @@ def open_pairs(apart: DataFrame, known: DataFrame, tied: DataFrame) -> DataFrame
     now = known.drop("component").join(tied.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     side = lambda p, x: now.select(F.col("pivot").alias(p), F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("component", "radius", "n")])
     reach = F.col("n_x") + F.col("n_y")
-    both = apart.select("a", "b", "gap").join(side("a", "x"), "a").join(side("b", "y"), "b")
+    most = now.groupBy(F.col("pivot").alias("b")).agg(F.max(F.col("radius") * 7 + F.col("n")).alias("most"))  # documents of a that are so close to it that none of b's can be near go before they meet any
+    near_enough = F.col("gap") * 7 <= F.col("radius_x") * 7 + F.col("n_x") + F.col("most")
+    both = apart.select("a", "b", "gap").join(most, "b").join(side("a", "x"), "a").where(near_enough).join(side("b", "y"), "b")
     may = (F.col("component_x") != F.col("component_y")) & (F.abs(F.col("n_x") - F.col("n_y")) * 7 <= reach) & (F.col("gap") * 7 <= (F.col("radius_x") + F.col("radius_y")) * 7 + reach)
     both = both.where(may & ((F.col("x") != F.col("a")) | (F.col("y") != F.col("b"))))
     return cut(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "behind")
