@@ -17,7 +17,8 @@ with one that shares most of its six least shingle hashes, which ties large grou
 (3) The pigeonhole join proper, over all representatives, leaves out pairs that are known to be in one component, as such
 links cannot change a component. A document that step 2 linked is met as its partner there, its pivot, at a known symmetric difference (0 for others): the
 symmetric difference is a metric, so two documents can only link if their pivots are no further apart than both radii and (a + b) / 7. Each pair of pivots is measured
-once, however many documents stand behind them; (4) only where that leaves a link possible, and the pivots' own links have not tied the components, are the pairs of documents themselves verified. (5) Components of all links.
+once, however many documents stand behind them; (4) only where that leaves a link possible, and the pivots' own links have not tied the components, are the documents
+behind them joined, by what they differ in from a pivot (``open_pairs``), and verified. (5) Components of all links.
 
 Pairs are verified twice: a parity sketch of at least 1,024 bits, and twice as many as shingles, rejects those whose Hamming distance, which is at most the symmetric
 difference, is over (a + b) / 7; the rest by the exact intersection of 64-bit shingle hashes.
@@ -46,7 +47,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, drop_cut, hash_sample, small
@@ -422,17 +423,59 @@ def _cross(w, d, n, place, comp, pivot, radius, block: int = 400_000) -> Iterato
             held, size = [], 0
 
 
-def open_pairs(apart: DataFrame, known: DataFrame, tied: DataFrame) -> DataFrame:
-    """Distinct pairs of documents of different components that may link as far as the ``gap`` of their pivots tells, but pivots themselves, whose links are known."""
+def open_pairs(apart: DataFrame, known: DataFrame, tied: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of links that are certain, and distinct (a, b) that may link, of documents of different components behind pivots that are ``apart``: as many links
+    as the components need.
+
+    A document is in its pivot's component, so pairs of pivots that are tied by now go first. Of the others the pivot with fewer documents behind it gives them up: each such
+    stranger y is measured against the other pivot a. With X and Y for what x and y differ in from a, x and y differ in |X| + |Y| - 2 |X & Y| shingles. So they link for certain
+    where 7 (|X| + |Y|) <= n_x + n_y, which the x of least 7 |X| - n_x decides; else they need an X & Y of t = (7 |X| - n_x + 7 |Y| - n_y) / 14 or more, and so share one of the
+    first |X| - t + 1 of X and of the first |Y| - t + 1 of Y, in an order that puts first what is rare among those that differ from a. As y is no link of a, that is about
+    half of X: the half that an edit made, not the half of a that it took away, which other edits take away too.
+    """
     now = known.drop("component").join(tied.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    side = lambda p, x: now.select(F.col("pivot").alias(p), F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("component", "radius", "n")])
-    reach = F.col("n_x") + F.col("n_y")
-    most = now.groupBy(F.col("pivot").alias("b")).agg(F.max(F.col("radius") * 7 + F.col("n")).alias("most"))  # documents of a that are so close to it that none of b's can be near go before they meet any
-    near_enough = F.col("gap") * 7 <= F.col("radius_x") * 7 + F.col("n_x") + F.col("most")
-    both = apart.select("a", "b", "gap").join(most, "b").join(side("a", "x"), "a").where(near_enough).join(side("b", "y"), "b")
-    may = (F.col("component_x") != F.col("component_y")) & (F.abs(F.col("n_x") - F.col("n_y")) * 7 <= reach) & (F.col("gap") * 7 <= (F.col("radius_x") + F.col("radius_y")) * 7 + reach)
-    both = both.where(may & ((F.col("x") != F.col("a")) | (F.col("y") != F.col("b"))))
-    return cut(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "behind")
+    now = cut(now.withColumn("score", F.col("radius") * 7 - F.col("n")), "now")
+    of = lambda x: now.select(F.col("doc_id").alias(x), F.col("component").alias(f"of_{x}"))
+    untied = cut(apart.select("a", "b", "gap").join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select("a", "b", "gap"), "untied")
+    pivots = untied.select(F.col("a").alias("pivot")).union(untied.select("b")).distinct()
+    behind = now.join(small(pivots), "pivot", "left_semi")
+    group = (F.count("*").alias("k"), F.max(F.col("radius") * 7 + F.col("n")).alias("most"), F.min(F.struct("score", "doc_id")).alias("least"))
+    groups = small(cut(behind.groupBy("pivot").agg(*group), "groups"))
+    sides = untied.join(groups.select(F.col("pivot").alias("a"), F.col("k").alias("k_a")), "a").join(groups.select(F.col("pivot").alias("b"), F.col("k").alias("k_b")), "b")
+    more = F.col("k_a") >= F.col("k_b")
+    sides = sides.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("b"), "gap")
+    strangers = sides.join(groups.withColumnRenamed("pivot", "a"), "a").join(behind.select(F.col("pivot").alias("b"), F.col("doc_id").alias("y"), "radius", "n"), "b")
+    strangers = cut(strangers.where(F.col("gap") * 7 <= F.col("most") + F.col("radius") * 7 + F.col("n")).select("a", "b", "y", "n", "gap", "most", "least"), "strangers")
+    near = measured(strangers.where("y <> b").select("a", F.col("y").alias("b"), (F.col("most") + F.col("n")).alias("reach")), sets)
+    met = strangers.where("y = b and gap * 7 <= most + n").select("a", "y", "n", "gap").union(near.select("a", "b", "n_b", "gap"))
+    met = cut(met.withColumn("score", F.col("gap") * 7 - F.col("n")).join(groups.select(F.col("pivot").alias("a"), "least"), "a"), "met")
+    sure = cut(met.where("score + least.score <= 0").select(F.col("least.doc_id").alias("a"), F.col("y").alias("b")), "sure")
+    rest = met.where("score + least.score > 0")
+    # every document that differs from a pivot that has strangers, with the least t of its pairs
+    own = behind.join(small(rest.groupBy(F.col("a").alias("pivot")).agg(F.min("score").alias("other"))), "pivot")
+    own = own.select(F.col("pivot").alias("a"), F.col("doc_id").alias("d"), F.lit(True).alias("own"), F.col("radius").alias("size"), "n", "score", "other")
+    both = own.union(rest.select("a", "y", F.lit(False), "gap", "n", "score", "least.score"))
+    both = both.withColumn("t", F.expr("(score + other + 13) div 14")).where("t <= size").drop("other")
+
+    def differ(x, y):
+        return pa.array([np.setxor1d(p, q, assume_unique=True).view(np.int64) for p, q in zip(_sets(x), _sets(y), strict=True)], pa.list_(pa.int64()))
+
+    centres = small(sets.join(small(both.select(F.col("a").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("hashes").alias("hashes_a")))
+    mine = sets.join(small(both.select(F.col("d").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("d"), "hashes")
+    both = both.join(mine, "d").join(centres, "a")
+    both = cut(both.withColumn("e", _udf(differ, "array<long>", "x", "y")(F.col("hashes"), F.col("hashes_a"))).drop("hashes", "hashes_a"), "differences")
+    each = both.withColumn("e", F.explode("e"))
+    shared = cut(each.groupBy("a", "e").agg(F.count("*").alias("k"), (F.min("own") != F.max("own")).alias("meets")).where("k > 1"), "shared")
+    placed = each.join(small(shared), ["a", "e"], "left")
+    order = Window.partitionBy("a", "d", "own").orderBy(F.coalesce("k", F.lit(1)), "e")
+    first = cut(placed.withColumn("place", F.row_number().over(order)).where("place <= size - t + 1 and meets").drop("k", "meets", "place", "t"), "first")
+    side = lambda x: first.where("own" if x == "x" else "not own").select("a", "e", *[F.col(c).alias(f"{c}_{x}") for c in ("d", "size", "n", "score")])
+    may = (F.col("score_x") + F.col("score_y") <= F.least("size_x", "size_y") * 14) & (F.abs(F.col("n_x") - F.col("n_y")) * 7 <= F.col("n_x") + F.col("n_y"))
+    pairs = side("x").join(side("y"), ["a", "e"]).where(may)
+    out = cut(pairs.select(F.least("d_x", "d_y").alias("a"), F.greatest("d_x", "d_y").alias("b")).distinct(), "behind")
+    for done in (now, untied, groups, strangers, near, met, both, shared, first):
+        drop_cut(done)
+    return sure, out
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -458,10 +501,10 @@ def link(docs: DataFrame) -> DataFrame:
     apart = measured(pairs, sets)
     stars = lambda t: t.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     tied = components(stars(tied).union(apart.where(F.col("gap") * 7 <= F.col("n_a") + F.col("n_b")).select("a", "b")))
-    behind = open_pairs(apart, known, tied)
+    sure, behind = open_pairs(apart, known, tied, sets)
     more = measured(behind, sets)
-    final = components(stars(tied).union(more.select("a", "b")))
-    for done in (base, first, links, known, pairs, apart, behind, more):
+    final = components(stars(tied).union(sure).union(more.select("a", "b")))
+    for done in (base, first, links, known, pairs, apart, sure, behind, more):
         drop_cut(done)
     out = rows.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))

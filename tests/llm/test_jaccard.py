@@ -176,7 +176,7 @@ def test_pivots_lose_no_link(spark, monkeypatch):
 
     def counted(*x):
         out = opened(*x)
-        asked.append(out.count())
+        asked.append(sum(x.count() for x in out))
         return out
 
     monkeypatch.setattr(jaccard, "open_pairs", counted)
@@ -185,6 +185,50 @@ def test_pivots_lose_no_link(spark, monkeypatch):
     assert asked[0] > 0 and len({c for _, c in want.values()}) > 20
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_links_behind_pivots(spark, seed):
+    """Sets behind any pivots, near and far: what is linked for certain or by candidates ties the same components as all pairs of sets do."""
+    r = random.Random(seed)
+    fresh = lambda k: [r.getrandbits(64) for _ in range(k)]
+    sets, pivot = {}, {}
+    for _ in range(5):
+        base, kept = fresh(120), fresh(15)
+        for size in (25, 25, 8, 3, 1, 1, 1, 1, 1, 1):  # groups of one text whose pivots are at several distances from it
+            own = r.sample(base, 120 - r.randrange(24)) + fresh(r.randrange(24)) + kept[: r.randrange(16)]
+            first = len(sets)
+            for k in range(size):
+                i = len(sets)
+                x = set(own) if not k else set(r.sample(own, len(own) - r.randrange(9))) | set(kept[: r.randrange(8)]) | set(fresh(r.randrange(8)))
+                sets[i], pivot[i] = x, first if len(x ^ set(own)) * 7 <= len(x) + len(own) else i
+    base, other, n = fresh(120), fresh(19), len(sets)
+    for i, (p, k) in enumerate([(n, 0), (n, 1), (n, 2), (n + 3, 19), (n + 3, 10)], n):  # the last links to the first of them, and its pivot does not
+        sets[i], pivot[i] = set(base[k:]) | set(other[:k]), p
+    pivot = {i: p if pivot[p] == p else i for i, p in pivot.items()}
+    root = dict(pivot)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ties = lambda pairs: [root.update({max(find(a), find(b)): min(find(a), find(b))}) for a, b in pairs if find(a) != find(b)]
+    linked = lambda a, b: len(sets[a] ^ sets[b]) * 7 <= len(sets[a]) + len(sets[b])
+    heads = sorted(set(pivot.values()))
+    gaps = [(a, b, len(sets[a] ^ sets[b])) for a in heads for b in heads if a < b and sets[a] & sets[b]]
+    ties([(a, b) for a, b, _ in gaps if linked(a, b)])
+    before = {i: find(i) for i in sets}
+    table = spark.createDataFrame([(i, len(x), bytearray(jaccard.pack(jaccard.np.array(sorted(x), "uint64")))) for i, x in sets.items()], "doc_id long, n int, hashes binary")
+    known = spark.createDataFrame([(i, i, p, len(sets[i] ^ sets[p]), len(sets[i])) for i, p in pivot.items()], "doc_id long, component long, pivot long, radius long, n long")
+    apart, tied = spark.createDataFrame(gaps, "a long, b long, gap long"), spark.createDataFrame(list(before.items()), "node long, component long")
+    sure, behind = ([(x.a, x.b) for x in t.collect()] for t in jaccard.open_pairs(apart, known, tied, table))
+    assert sure and behind and all(linked(a, b) for a, b in sure) and all(before[a] != before[b] for a, b in sure + behind)
+    ties(sure + [(a, b) for a, b in behind if linked(a, b)])
+    mine = {i: find(i) for i in sets}
+    root.update(before)
+    ties([(a, b) for a in sets for b in sets if a < b and linked(a, b)])
+    assert mine == {i: find(i) for i in sets} != before
+
+
 def test_texts_are_read_once_and_never_shuffled(spark):
     df = spark.createDataFrame([(i, f"a b c d e f g h {i % 7}") for i in range(50)], "doc_id long, text string")
     plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
