@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, drop_cut
+from tessera.llm.common import cut, drop_cut, text_parts
 
 SEED = 3
 RARE = 32

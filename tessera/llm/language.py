@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import PIECE_MODEL, crc, cut, drop_cut, hash_sample
+from tessera.llm.common import PIECE_MODEL, crc, cut, drop_cut, hash_sample, text_parts
 
 FIT_DOCS = 3_000
 ROUNDS = 3
@@ -233,17 +233,15 @@ def fit(docs: DataFrame, pieces: list[str], fit_docs: int = FIT_DOCS) -> tuple[l
     return langs, p
 
 
-def with_language(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray, column: str = "language") -> DataFrame:
-    """The documents with a struct (lang, score): the likeliest language and its posterior under equal priors."""
-    shared = docs.sparkSession.sparkContext.broadcast((pieces, langs, _with_rest(p)))
-
-    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary, names, q = shared.value
-        lattice, known, table = Lattice(vocabulary), {}, np.empty((0, q.shape[1]))
-        for texts in batches:
+def predictions(batches: Iterator[pa.Array], vocabulary: list[str], names: list[str], q: np.ndarray) -> Iterator[pa.Array]:
+    """(lang, score) of every text. A batch is taken apart in parts of bounded bytes."""
+    lattice, known, table = Lattice(vocabulary), {}, np.empty((0, q.shape[1]))
+    for batch in batches:
+        langs, scores = [], []
+        for texts in text_parts(batch):
             split = [words_of(t.as_py()) for t in texts]
             if len(known) > _CACHE:
-                known, table = {}, table[:0]
+                known, table = {}, table[:0].copy()
             new = list({w for words in split for w in words} - known.keys()) if names else []
             if new:
                 known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
@@ -254,7 +252,17 @@ def with_language(docs: DataFrame, pieces: list[str], langs: list[str], p: np.nd
                     x = table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(0)
                     best = int(x.argmax())
                     lang[k], score[k] = names[best], 1 / np.exp(x - x[best]).sum()
-            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang", "score"])
+            langs.append(pa.array(lang, pa.string()))
+            scores.append(pa.array(score))
+        yield pa.StructArray.from_arrays([pa.concat_arrays(langs) if langs else pa.array([], pa.string()), pa.concat_arrays(scores) if scores else pa.array([], pa.float64())], ["lang", "score"])
+
+
+def with_language(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray, column: str = "language") -> DataFrame:
+    """The documents with a struct (lang, score): the likeliest language and its posterior under equal priors."""
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, langs, _with_rest(p)))
+
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return predictions(batches, *shared.value)
 
     def typed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return predict(batches)

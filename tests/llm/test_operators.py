@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -818,3 +819,17 @@ def test_leak_cases(spark, odd):
     assert got == [(1, 4, 2, 29), (1, 4, 2, 29), (2, 4, 0, 13), (2, 4, 0, 13), (4, 5, 0, 20)]
     assert decontaminate.leaks(odd, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), bench).count() == 0
     assert decontaminate.clean(odd, bench).columns == odd.columns and decontaminate.clean(odd, bench).count() == len(TEXTS)
+
+
+def test_language_holds_parts_of_a_batch():
+    """A batch of 12 MB of text, whose words would take ten times that as Python strings."""
+    vocabulary = ["a", "b", language.MARK]
+    texts = pa.array(["ab ba aab abba b a bb " * 100] * 6_000 + [None, "", "12"])
+    p = language._with_rest(np.array([[0.5, 0.1], [0.2, 0.8], [0.3, 0.1]]))
+    tracemalloc.start()
+    (got,) = language.predictions(iter([texts]), vocabulary, ["x", "y"], p)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20
+    assert len(got) == len(texts) and got[0].as_py()["lang"] == got[5_999].as_py()["lang"] != "und"
+    assert [x.as_py()["lang"] for x in got[-3:]] == ["und"] * 3 and got[0] == next(language.predictions(iter([texts[:1]]), vocabulary, ["x", "y"], p))[0]
