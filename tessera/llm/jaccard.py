@@ -26,7 +26,7 @@ difference, is over (a + b) / 7; the rest by the exact intersection of 64-bit sh
 A pair is made only at a word that may be its first common one. The words before it all differ, and those of an odd number of shingles count on both
 sides: where an odd word differs from an odd one the parts differ in two shingles at least, from an even one or none in one at least. So the odd words before it, of both documents
 together, are at most the symmetric difference, which bounds the sizes of a pair. Words travel in blocks: (32 bits of the word, doc_id, size, odd words before it), 20 bytes each, about 0.45 for each shingle, dealt
-to buckets of about a million; a bucket is sorted in one go. A word that the sample shows in more than ``HEAVY`` documents is split: its documents fall into
+to buckets of about a million; those of sets of at most ``SMALL`` shingles have 16 bytes more, a parity sketch of ``MEET_BITS`` bits that is compared where they meet, so that sets which share a passage and cannot link make no pair; a bucket is sorted in one go. A word that the sample shows in more than ``HEAVY`` documents is split: its documents fall into
 blocks by a hash, and each pair of blocks is a word of its own, in a bucket of its own. Of equal sets, too, classes of over ``HEAVY`` rows (and over a
 millionth of all, so that they are fewer than a million) are met by broadcast, and only smaller ones by a shuffle.
 To the driver come a bit table of fixed size and the split words. Work tables are written to the
@@ -65,6 +65,8 @@ ENTRIES = 1_000_000
 SKETCH_BITS = 1024
 #: Bytes of hashes whose words are dealt in one go; a larger set is dealt alone.
 DEALT_BYTES = 8 << 20
+#: Sets of at most so many shingles travel with their parities by MEET_BITS bits (16 bytes a word), which tell most sets apart where they meet; of larger sets these few would not.
+SMALL, MEET_BITS = 256, 128
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -158,6 +160,12 @@ def bit_sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """A bit sketch of MEET_BITS bits; their Hamming distance is at most the symmetric difference, as every shingle changes one."""
+    counts = np.bincount((h >> np.uint64(24)).astype(np.int64) & (MEET_BITS - 1), minlength=MEET_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.uint64)
+
+
 def distance(a: Column, b: Column) -> Column:
     """Hamming distance of two bit sketches; one that is twice as long is folded, which keeps parities parities."""
     k = F.least(F.size(a), F.size(b))
@@ -179,10 +187,24 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
     return [unpack(x.as_buffer()) if x.is_valid else np.empty(0, np.uint64) for x in column]
 
 
+def in_parts(f, *columns: pa.Array) -> pa.Array:
+    """What ``f`` gives for the columns, made in parts of about ``DEALT_BYTES``, so that what it holds is bounded however many rows a batch has."""
+    sizes = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    edges = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // DEALT_BYTES)) + 1).tolist(), len(sizes)]
+    parts = [f(*[c.slice(a, b - a) for c in columns]) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+    return pa.concat_arrays(parts) if parts else f(*columns)
+
+
 def _udf(f, kind: str, *inputs: str):
     """A function of Arrow arrays as a UDF; as not deterministic, so that it is evaluated once a row."""
-    f.__annotations__ = dict.fromkeys((*inputs, "return"), pa.Array)
-    return F.arrow_udf(f, kind).asNondeterministic()
+
+    def one(x: pa.Array) -> pa.Array:
+        return in_parts(f, x)
+
+    def two(x: pa.Array, y: pa.Array) -> pa.Array:
+        return in_parts(f, x, y)
+    one.__annotations__, two.__annotations__ = (dict.fromkeys((*x, "return"), pa.Array) for x in ("x", "xy"))
+    return F.arrow_udf(two if len(inputs) == 2 else one, kind).asNondeterministic()
 
 
 def written_sets(docs: DataFrame) -> DataFrame:
@@ -246,9 +268,9 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-#: Of words: low bits, documents, sizes, odd words before; of documents that are tied to others: ids, components, pivots, radii.
-_COLUMNS = ("w", "d", "n", "p", "o", "c", "v", "r")
-_KINDS = (np.uint32, np.int64, np.uint32, np.uint32, np.int64, np.int64, np.int64, np.int64)
+#: Of words: low bits, documents, sizes, odd words before, and parities where sets are small; of documents that are tied to others: ids, components, pivots, radii.
+_COLUMNS = ("w", "d", "n", "p", "s", "o", "c", "v", "r")
+_KINDS = (np.uint32, np.int64, np.uint32, np.uint32, np.uint64, np.int64, np.int64, np.int64, np.int64)
 #: What is known of a document.
 _KNOWN = ("component", "pivot", "radius")
 
@@ -263,8 +285,8 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield b.slice(x, y - x)
 
 
-def _deal(words: list[np.ndarray], places: list[np.ndarray], sizes: list[int], batch: pa.RecordBatch, buckets: int, heavy: np.ndarray) -> pa.RecordBatch:
-    """A batch's words as one row a bucket: words, documents, sizes, places, and what is known of documents not alone in their components.
+def _deal(words: list[np.ndarray], places: list[np.ndarray], sets: list[np.ndarray], batch: pa.RecordBatch, buckets: int, heavy: np.ndarray, meets: bool = True) -> pa.RecordBatch:
+    """A batch's words as one row a bucket: words, documents, sizes, places, parities of small sets (if it ``meets``), and what is known of documents not alone in their components.
 
     ``heavy``: (low bits of a word, number of blocks) of the words that are split, in order of the former. A document of such a word is in one
     block, and goes to every pair of blocks that has it.
@@ -285,7 +307,11 @@ def _deal(words: list[np.ndarray], places: list[np.ndarray], sizes: list[int], b
         kept = np.ones(len(words), bool)
         kept[split] = False
         words, place, row = (np.concatenate([x[kept], y]) for x, y in ((words, made), (place, place[split][copy]), (row, row[split][copy])))
-    size = np.array(sizes, np.uint32)
+    size = np.array([len(h) for h in sets], np.uint32)
+    few = size <= SMALL
+    parity = np.zeros((len(size), MEET_BITS // 64), np.uint64)
+    for k in np.flatnonzero(few) if meets else ():
+        parity[k] = parities(sets[k])
     to = ((words >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     edges = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -294,7 +320,7 @@ def _deal(words: list[np.ndarray], places: list[np.ndarray], sizes: list[int], b
         at = order[edges[k] : edges[k + 1]]
         own = np.unique(row[at])
         own = own[(known[0][own] != ids[own]) | (known[1][own] != ids[own])]
-        made.append((int(k), *[x.tobytes() for x in (words[at].astype(np.uint32), ids[row[at]], size[row[at]], place[at], ids[own], *[x[own] for x in known])]))
+        made.append((int(k), *[x.tobytes() for x in (words[at].astype(np.uint32), ids[row[at]], size[row[at]], place[at], parity[row[at][few[row[at]]]] if meets else parity[:0], ids[own], *[x[own] for x in known])]))
     columns = list(zip(*made, strict=True)) or [[]] * (len(_COLUMNS) + 1)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * len(_COLUMNS), strict=True)], names=["bucket", *_COLUMNS])
 
@@ -304,7 +330,7 @@ _WHOLE = np.empty((2, 0), np.uint32)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Bucket by bucket the words that several documents have, sorted, with documents, sizes, places, components, pivots and radii."""
+    """Bucket by bucket the words that several documents have, sorted, with documents, sizes, places, parities, components, pivots and radii."""
     held: dict[int, list[list[bytes]]] = {}
     for b in batches:
         for k, *blobs in zip(*[b.column(c).to_pylist() for c in ("bucket", *_COLUMNS)], strict=True):
@@ -312,11 +338,14 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
                 have.append(new)
     while held:
         _, parts = held.popitem()
-        w, d, n, p, o, *known = (np.frombuffer(b"".join(x), t) for x, t in zip(parts, _KINDS, strict=True))
+        w, d, n, p, s, o, *known = (np.frombuffer(b"".join(x), t) for x, t in zip(parts, _KINDS, strict=True))
+        parity = np.zeros((len(w), MEET_BITS // 64), np.uint64)
+        if len(s):
+            parity[n <= SMALL] = s.reshape(-1, MEET_BITS // 64)
         order = np.argsort(w, kind="stable")
         same = w[order][1:] == w[order][:-1]
         twin = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(w) else order
-        w, d, n, p = w[twin], d[twin], n[twin], p[twin]
+        w, d, n, p, parity = w[twin], d[twin], n[twin], p[twin], parity[twin]
         o, first = np.unique(o, return_index=True)
         known = [x[first] for x in known]
         of = [d, d, np.zeros(len(d), np.int64)]
@@ -324,7 +353,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
             at = np.minimum(np.searchsorted(o, d), len(o) - 1)
             of = [np.where(o[at] == d, x[at], y) for x, y in zip(known, of, strict=True)]
         if len(w):
-            yield w, d, n, p, *of
+            yield w, d, n, p, parity, *of
 
 
 def _hot(sets: DataFrame, known: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -337,10 +366,10 @@ def _hot(sets: DataFrame, known: DataFrame, buckets: int) -> tuple[np.ndarray, n
         for b in _parts(batches):
             sets = _sets(b.column("hashes"))
             own = [np.concatenate([sketch_words(h, band)[0] for band, _ in _bands(len(h))]) if len(h) else h for h in sets]
-            yield _deal(own, [np.zeros(len(w), np.uint32) for w in own], [len(h) for h in sets], b, buckets, _WHOLE)
+            yield _deal(own, [np.zeros(len(w), np.uint32) for w in own], sets, b, buckets, _WHOLE, meets=False)
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for w, _, _, _, comp, *_ in _buckets(batches):
+        for w, _, _, _, _, comp, *_ in _buckets(batches):
             at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
             mixed = np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at)
             count = np.diff(np.append(at, len(w)))
@@ -377,7 +406,7 @@ def candidates(sets: DataFrame, known: DataFrame, total: int) -> DataFrame:
         for b in _parts(batches):
             sets = _sets(b.column("hashes"))
             words, places = zip(*[prefix(h, hot) for h in sets], strict=True) if sets else ((), ())
-            yield _deal(list(words), list(places), [len(h) for h in sets], b, buckets, heavy)
+            yield _deal(list(words), list(places), sets, b, buckets, heavy)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for met in _buckets(batches):
@@ -390,8 +419,9 @@ def candidates(sets: DataFrame, known: DataFrame, total: int) -> DataFrame:
     return out
 
 
-def _cross(w, d, n, place, comp, pivot, radius, block: int = 400_000) -> Iterator[pa.RecordBatch]:
-    """The pivots of pairs of different components in each run of equal words, if this may be their first common word, and their reach."""
+def _cross(w, d, n, place, parity, comp, pivot, radius, block: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """The pivots of pairs of different components in each run of equal words, if this may be their first common word and their parities, where
+    both are small, leave a link possible, and their reach."""
     start = np.concatenate([[True], w[1:] != w[:-1]])
     at, run = np.flatnonzero(start), np.cumsum(start) - 1
     mixed = (np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at))[run]  # runs of one component have no pairs
@@ -401,7 +431,7 @@ def _cross(w, d, n, place, comp, pivot, radius, block: int = 400_000) -> Iterato
     sizes = np.sort(key + n)
     fitting = np.searchsorted(sizes, key + high, "right") - np.searchsorted(sizes, key + low) - ((low <= n) & (n <= high))
     kept = np.flatnonzero(mixed & (fitting > 0))
-    w, n, comp, low, high, pivot = w[kept], n[kept].astype(np.int64), comp[kept], low[kept], high[kept], pivot[kept]
+    w, n, parity, comp, low, high, pivot = w[kept], n[kept].astype(np.int64), parity[kept], comp[kept], low[kept], high[kept], pivot[kept]
     spare = n - 7 * place[kept].astype(np.int64)  # of both sides together: seven times the shingles by which they may still differ
     reach = n + 7 * radius[kept]
     total, gap, left = len(w), 1, np.arange(len(w))
@@ -411,6 +441,8 @@ def _cross(w, d, n, place, comp, pivot, radius, block: int = 400_000) -> Iterato
         left = left[w[left + gap] == w[left]]
         right = left + gap
         hit = left[(comp[left] != comp[right]) & (spare[left] + spare[right] >= 0) & (low[left] <= n[right]) & (n[right] <= high[left]) & (low[right] <= n[left]) & (n[left] <= high[right])]
+        apart = np.bitwise_count(parity[hit] ^ parity[hit + gap]).sum(1) * 7
+        hit = hit[(np.maximum(n[hit], n[hit + gap]) > SMALL) | (apart <= n[hit] + n[hit + gap])]
         a, b = pivot[hit], pivot[hit + gap]
         held.append(np.stack([np.minimum(a, b), np.maximum(a, b), reach[hit] + reach[hit + gap]], 1))
         size += len(hit)

@@ -3,7 +3,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard
@@ -278,3 +281,22 @@ def test_components_of_paths_and_stars(spark):
             root[max(x, y)] = min(x, y)
     want = {i: find(i) for e in edges for i in e if e[0] != e[1]}
     assert {r.node: r.component for r in components(df).collect()} == want
+
+
+def test_sets_that_share_a_passage_make_no_pairs(spark):
+    """300 documents with 30 words in common and 70 of their own cannot link; two of them have a near copy."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [passage + " " + " ".join(str(rng.random()) for _ in range(70)) for _ in range(300)]
+    texts += [t.rsplit(" ", 3)[0] for t in texts[:2]]
+    base = jaccard.written_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    known = base.selectExpr("doc_id", "doc_id as component", "doc_id as pivot", "0L as radius")
+    pairs = {(r.a, r.b) for r in jaccard.candidates(base.select("doc_id", "n", "low", "hashes"), known, 100 * len(texts)).collect()}
+    assert {(0, 300), (1, 301)} <= pairs and len(pairs) < 100
+
+
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=200), st.sets(st.integers(0, 2**64 - 1), max_size=200))
+@settings(max_examples=50, deadline=None)
+def test_parities_differ_in_no_more_than_the_sets(a, b):
+    x, y = (jaccard.parities(np.array(sorted(s), np.uint64)) for s in (a, a ^ b))
+    assert np.bitwise_count(x ^ y).sum() <= len(b)
