@@ -283,16 +283,17 @@ def test_components_of_paths_and_stars(spark):
     assert {r.node: r.component for r in components(df).collect()} == want
 
 
-def test_sets_that_share_a_passage_make_no_pairs(spark):
-    """300 documents with 30 words in common and 70 of their own cannot link; two of them have a near copy."""
+def test_sets_that_share_a_passage_make_no_pairs(spark, monkeypatch):
+    """300 documents with 75 words in common and 25 of their own cannot link; two of them have a near copy."""
+    monkeypatch.setattr(jaccard, "_hot", lambda *_: (np.zeros(1 << jaccard.HOT_BITS >> 3, np.uint8), jaccard._WHOLE))  # common words are not put last
     rng = random.Random(5)
-    passage = " ".join(f"p{i}" for i in range(30))
-    texts = [passage + " " + " ".join(str(rng.random()) for _ in range(70)) for _ in range(300)]
+    passage = " ".join(f"p{i}" for i in range(75))
+    texts = [passage + " " + " ".join(str(rng.random()) for _ in range(25)) for _ in range(300)]
     texts += [t.rsplit(" ", 3)[0] for t in texts[:2]]
     base = jaccard.written_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     known = base.selectExpr("doc_id", "doc_id as component", "doc_id as pivot", "0L as radius")
     pairs = {(r.a, r.b) for r in jaccard.candidates(base.select("doc_id", "n", "low", "hashes"), known, 100 * len(texts)).collect()}
-    assert {(0, 300), (1, 301)} <= pairs and len(pairs) < 100
+    assert {(0, 300), (1, 301)} <= pairs and len(pairs) < 9_000  # of 45,000
 
 
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=200), st.sets(st.integers(0, 2**64 - 1), max_size=200))
