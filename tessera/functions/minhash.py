@@ -22,6 +22,8 @@ SECOND_SHIFT = 13
 BASE = 31
 #: Signatures lie in 0..LARGEST, which bounds any histogram of them.
 LARGEST = 262_144
+#: Bytes of words that a Python worker hashes in one go.
+PART_BYTES = 2 << 20
 
 
 def _wrap(x: Column) -> Column:
@@ -46,6 +48,15 @@ def string_hash(text: Column) -> Column:
 
 
 def _list_hashes(lists: pa.Array) -> pa.Array:
+    """In parts of about PART_BYTES of words, as what is made of a part takes over twenty times that."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(lists.flatten()), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+    edges = [0, *(np.flatnonzero(np.diff(sizes[ends] // PART_BYTES)) + 1).tolist(), len(lists)]
+    parts = [_part_hashes(lists.slice(a, b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+    return pa.concat_arrays(parts) if parts else _part_hashes(lists)
+
+
+def _part_hashes(lists: pa.Array) -> pa.Array:
     words = lists.flatten()
     text = "".join(words.drop_null().to_pylist())
     units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype="<u2").astype(np.uint32)

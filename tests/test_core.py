@@ -1,14 +1,16 @@
 """Goldens, differential and property tests of the relational, run-length and neighbour modules."""
 
 import random
+import tracemalloc
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions import metrics
+from tessera.functions import metrics, minhash
 from tessera.functions.minhash import LARGEST, jaccard, keyword_hash, signature
 from tessera.operators import neighbors as nn
 from tessera.operators import relational as rel
@@ -174,6 +176,17 @@ def test_boundaries_fold(spark):
     assert nn.boundaries(df, 7).first()["bounds"] == cuts
 
 
+def test_lists_are_hashed_in_parts():
+    """20 MB of words in one batch, with nulls; as one they took over 400 MB."""
+    lists = pa.array([[f"{i} word" * 20, "é", None] if i % 3 else None for i in range(200_000)], pa.list_(pa.string()))
+    tracemalloc.start()
+    got = minhash._list_hashes(lists)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20 and len(got) == len(lists)
+    assert got.slice(150_000).equals(minhash._part_hashes(lists.slice(150_000)))
+
+
 def _looked_up(spark):
     """Points with copies, near sets, a frequent word, odd words, and some without a word."""
     rng = random.Random(7)
