@@ -50,7 +50,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, drop_cut, hash_sample, small
+from tessera.llm.common import bounded_batches, cut, drop_cut, hash_sample, small
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -276,13 +276,24 @@ _KNOWN = ("component", "pivot", "radius")
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of about ``DEALT_BYTES`` of hashes, so that what is made of one is bounded however long the texts are."""
+    """The batches' rows in parts of at most ``DEALT_BYTES`` of hashes, or of one row, however long the texts and however small the batches
+    are: what is made of a part is bounded, and a part makes one row a bucket, so that small batches make no more rows."""
+    held, size = [], 0
     for b in batches:
-        part = np.cumsum(pc.binary_length(b.column("hashes")).to_numpy(zero_copy_only=False).astype(np.int64)) // DEALT_BYTES
-        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
-        for x, y in zip(edges[:-1], edges[1:], strict=True):
-            if y > x:
-                yield b.slice(x, y - x)
+        sizes = pc.binary_length(b.column("hashes")).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = 0
+        for k, n in enumerate(sizes.tolist()):
+            if size and size + n > DEALT_BYTES:
+                yield _joined([*held, b.slice(first, k - first)])
+                held, size, first = [], 0, k
+            size += n
+        held.append(b.slice(first))
+    if size:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if len(batches) > 1 else batches[0]
 
 
 def _deal(words: list[np.ndarray], places: list[np.ndarray], sets: list[np.ndarray], batch: pa.RecordBatch, buckets: int, heavy: np.ndarray, meets: bool = True) -> pa.RecordBatch:
@@ -512,6 +523,11 @@ def open_pairs(apart: DataFrame, known: DataFrame, tied: DataFrame, sets: DataFr
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
+    with bounded_batches(docs.sparkSession):  # all that runs Python is written here
+        return _link(docs)
+
+
+def _link(docs: DataFrame) -> DataFrame:
     base = written_sets(docs)
     rows = classes(base)
     # one row for each class; of rows with one doc_id and several texts the larger set stands for it

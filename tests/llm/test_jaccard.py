@@ -301,3 +301,36 @@ def test_sets_that_share_a_passage_make_no_pairs(spark, monkeypatch):
 def test_parities_differ_in_no_more_than_the_sets(a, b):
     x, y = (jaccard.parities(np.array(sorted(s), np.uint64)) for s in (a, a ^ b))
     assert np.bitwise_count(x ^ y).sum() <= len(b)
+
+
+def test_small_batches_are_dealt_together():
+    import pyarrow as pa
+
+    sets = [jaccard.shingles(pa.scalar(" ".join(f"{k}w{i}" for i in range(n + 4)))) for k, n in enumerate([3, 40_000, 1, 900_000, 1_200_000, 5, 7] + [30_000] * 60)]
+    rows = pa.table({"doc_id": range(len(sets)), "hashes": pa.array([jaccard.pack(h) for h in sets], pa.binary())})
+    for size in (1, 3, len(sets)):  # rows a batch
+        parts = list(jaccard._parts(iter(rows.to_batches(size))))
+        assert pa.Table.from_batches(parts).equals(rows.combine_chunks())
+        sizes = [sum(len(x) for x in p.column("hashes").to_pylist()) for p in parts]
+        assert all(s <= jaccard.DEALT_BYTES or p.num_rows == 1 for s, p in zip(sizes, parts))
+        assert all(a + b > jaccard.DEALT_BYTES for a, b in zip(sizes, sizes[1:])) and max(p.num_rows for p in parts) > 20
+    assert not list(jaccard._parts(iter([rows.to_batches()[0].slice(0, 0)])))
+
+
+def test_workers_get_small_batches(spark, monkeypatch):
+    """What executors hold outside the heap follows the batches: all that the join writes is made in a session of small ones, which then is as before."""
+    from tessera import store
+
+    seen, write = [], jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df, name: (seen.append((name, spark.conf.get(store._BATCH))), write(df, name))[1])
+    before = spark.conf.get(store._BATCH)
+    rows = make(5, [40] * 12)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert {"sets", "sketches", "links", "pairs", "differences"} <= {name for name, _ in seen} and {x for _, x in seen} == {str(store.BATCH_BYTES)}
+    assert spark.conf.get(store._BATCH) == before
+    spark.conf.set(store._BATCH, "64k")  # what is smaller stays
+    try:
+        with store.bounded_batches(spark):
+            assert spark.conf.get(store._BATCH) == "64k"
+    finally:
+        spark.conf.set(store._BATCH, before)
