@@ -7,36 +7,55 @@ columns of ``documents``; the last adds the piece ids.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, language, pieces, quality
-from tessera.llm.common import cut, table
+from tessera.llm.common import bound_batches, cut, table
 
 #: SQL cannot train the classifiers or encode text; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
+def bounded(stage: Callable) -> Callable:
+    """The stage in a session of small Arrow batches, as its rows are only made when what it returns is written."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@bounded
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
+@bounded
 def keep_told(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or without a likely language go."""
     return language.accepted(docs)
 
 
+@bounded
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of exact and near copies the document with the smallest doc_id stays."""
     return jaccard.representatives(docs)
 
 
+@bounded
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, whole or edited, go."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@bounded
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its piece ids and their number."""
     return pieces.with_ids(docs).withColumn("n_pieces", F.size("piece_ids"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, drop_cut, text_parts
+from tessera.llm.common import cut, drop_cut, text_parts, thrifty
 
 SEED = 3
 RARE = 32
@@ -254,7 +254,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks") ->
             for texts in batches:
                 yield pa.array(find(shared.value, texts.to_pylist()), pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])))
 
-        made = F.arrow_udf(_iterating(run), kind).asNondeterministic()(F.col("text"))
+        made = F.arrow_udf(thrifty(_iterating(run)), kind).asNondeterministic()(F.col("text"))
         docs = docs.withColumn(column, F.concat(column, made) if before is not None else made)
     return docs
 

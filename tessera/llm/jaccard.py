@@ -50,7 +50,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, cut, drop_cut, hash_sample, small
+from tessera.llm.common import bounded_batches, cut, drop_cut, hash_sample, small, thrifty
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -198,13 +198,15 @@ def in_parts(f, *columns: pa.Array) -> pa.Array:
 def _udf(f, kind: str, *inputs: str):
     """A function of Arrow arrays as a UDF; as not deterministic, so that it is evaluated once a row."""
 
-    def one(x: pa.Array) -> pa.Array:
-        return in_parts(f, x)
+    def one(batches):
+        for x in batches:
+            yield in_parts(f, x)
 
-    def two(x: pa.Array, y: pa.Array) -> pa.Array:
-        return in_parts(f, x, y)
-    one.__annotations__, two.__annotations__ = (dict.fromkeys((*x, "return"), pa.Array) for x in ("x", "xy"))
-    return F.arrow_udf(two if len(inputs) == 2 else one, kind).asNondeterministic()
+    def two(batches):
+        for x, y in batches:
+            yield in_parts(f, x, y)
+    one.__annotations__, two.__annotations__ = ({"batches": Iterator[t], "return": Iterator[pa.Array]} for t in (pa.Array, tuple[pa.Array, pa.Array]))
+    return F.arrow_udf(thrifty(two if len(inputs) == 2 else one), kind).asNondeterministic()
 
 
 def written_sets(docs: DataFrame) -> DataFrame:
@@ -390,8 +392,8 @@ def _hot(sets: DataFrame, known: DataFrame, buckets: int) -> tuple[np.ndarray, n
             yield pa.RecordBatch.from_arrays([pa.array(np.append(found, w[at][many].astype(np.int64))), pa.array(np.append(np.zeros(len(found), np.int64), count[many]))], names=["w", "k"])
 
     sample = hash_sample(sets.select("doc_id", "hashes"), "doc_id", HOT_SHARE, 5).join(known, "doc_id")
-    dealt = sample.select("doc_id", *_KNOWN, "hashes").mapInArrow(words, _DEALT)
-    found = dealt.repartitionById(buckets, "bucket").mapInArrow(common, "w long, k long").groupBy("w").agg(F.max("k").alias("k"), F.min("k").alias("least")).toArrow()
+    dealt = sample.select("doc_id", *_KNOWN, "hashes").mapInArrow(thrifty(words), _DEALT)
+    found = dealt.repartitionById(buckets, "bucket").mapInArrow(thrifty(common), "w long, k long").groupBy("w").agg(F.max("k").alias("k"), F.min("k").alias("least")).toArrow()
     w, k, least_k = (found.column(c).to_numpy() for c in ("w", "k", "least"))
     hot = np.zeros(1 << HOT_BITS, np.bool_)
     hot[w[least_k == 0]] = True
@@ -424,7 +426,7 @@ def candidates(sets: DataFrame, known: DataFrame, total: int) -> DataFrame:
             yield from _cross(*met)
 
     mine = sets.select("doc_id", "hashes").join(known, "doc_id")
-    met = mine.select("doc_id", *_KNOWN, "hashes").mapInArrow(deal, _DEALT).repartitionById(buckets, "bucket").mapInArrow(meet, "a long, b long, reach long")
+    met = mine.select("doc_id", *_KNOWN, "hashes").mapInArrow(thrifty(deal), _DEALT).repartitionById(buckets, "bucket").mapInArrow(thrifty(meet), "a long, b long, reach long")
     out = cut(met.groupBy("a", "b").agg(F.max("reach").alias("reach")), "pairs")
     shared.unpersist()
     return out

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import PIECE_MODEL, crc, cut, drop_cut, hash_sample, text_parts
+from tessera.llm.common import PIECE_MODEL, crc, cut, drop_cut, hash_sample, text_parts, thrifty
 
 FIT_DOCS = 3_000
 ROUNDS = 3
@@ -267,7 +267,7 @@ def with_language(docs: DataFrame, pieces: list[str], langs: list[str], p: np.nd
     def typed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return predict(batches)
 
-    return docs.withColumn(column, F.arrow_udf(typed, "struct<lang:string,score:double>").asNondeterministic()(F.col("text")))
+    return docs.withColumn(column, F.arrow_udf(thrifty(typed), "struct<lang:string,score:double>").asNondeterministic()(F.col("text")))
 
 
 def learnable(docs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import PIECE_MODEL
+from tessera.llm.common import PIECE_MODEL, thrifty
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -278,7 +278,7 @@ def with_ids(docs: DataFrame, model_path: str = PIECE_MODEL, column: str = "piec
         for texts in batches:
             yield encoder.encode(texts)
 
-    return docs.withColumn(column, F.arrow_udf(encoded, "array<int>").asNondeterministic()(F.col("text")))
+    return docs.withColumn(column, F.arrow_udf(thrifty(encoded), "array<int>").asNondeterministic()(F.col("text")))
 
 
 def with_text(encoded: DataFrame, model_path: str = PIECE_MODEL, ids: str = "piece_ids", column: str = "decoded") -> DataFrame:

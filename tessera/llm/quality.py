@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc, hash_sample, small
+from tessera.llm.common import crc, hash_sample, small, thrifty
 
 BITS = 18
 FIT_DOCS = 8_000
@@ -141,7 +141,7 @@ def with_score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> D
     def typed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return score(batches)
 
-    return docs.withColumn(column, F.arrow_udf(typed, "double").asNondeterministic()(F.col("text")))
+    return docs.withColumn(column, F.arrow_udf(thrifty(typed), "double").asNondeterministic()(F.col("text")))
 
 
 def learnable(labels: DataFrame) -> DataFrame:

@@ -334,3 +334,27 @@ def test_workers_get_small_batches(spark, monkeypatch):
             assert spark.conf.get(store._BATCH) == "64k"
     finally:
         spark.conf.set(store._BATCH, before)
+
+
+def test_a_task_leaves_its_worker_small():
+    import subprocess
+    import sys
+
+    code = """
+import os, pathlib, sys
+sys.path.insert(0, os.getcwd())
+from tessera.llm.common import thrifty
+anon = lambda: int(next(x.split()[1] for x in pathlib.Path('/proc/self/status').read_text().splitlines() if x.startswith('RssAnon'))) >> 10
+def task(batches):
+    for n in batches:
+        held = [bytes(2_000) for _ in range(n)]  # below malloc's threshold for maps of their own
+        last = bytes(2_000)  # what stays on top keeps all below
+        del held
+        yield last
+before = anon()
+kept = list(thrifty(task)([50_000]))
+print(anon() - before)
+"""
+    root = jaccard.__file__.rsplit("/tessera/", 1)[0]
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
+    assert int(out) < 30  # of 100 MB

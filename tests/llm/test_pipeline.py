@@ -36,3 +36,25 @@ def test_stages(spark, tmp_path):
 
     assert all(pieces.decode(model, np.array(r.piece_ids, np.int32)) == r.text.replace("▁", " ") and r.n_pieces == len(r.piece_ids) for r in kept[4][1].values())
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == {*kept[4][1]}
+
+
+def test_stages_hand_on_small_batches(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from tessera import store
+
+    def size(x: pa.Array) -> pa.Array:
+        return pa.array([x.nbytes] * len(x), pa.int64())
+
+    before = spark.conf.get(store._BATCH)
+    docs = table(spark, SF, "documents")
+    long = spark.range(3_000, numPartitions=1).select(F.repeat(F.lit("some words "), 400).alias("text"))
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.set(store._BATCH, before)
+        try:
+            stage(spark, docs, SF)
+            most = long.select(F.arrow_udf(size, "long")("text").alias("n")).agg(F.max("n")).first()[0]
+        finally:
+            spark.conf.set(store._BATCH, before)
+        assert most <= 1.1 * store.BATCH_BYTES, name
